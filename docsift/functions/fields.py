@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +25,6 @@ URL_DELIMITER_LOOKALIKES = (
     "\ufe55\ufe56\ufe5f\ufe6b\uff03\uff0f\uff1a\uff1f\uff20"
 )
 
-ISSUE_TYPE = "struct<field:string,reason:string,value_preview:string>"
-
 
 @dataclass(frozen=True)
 class JsonField:
@@ -40,28 +39,25 @@ class JsonField:
     def of(cls, name: str, value: Column) -> JsonField:
         return cls(name, value, kind_of(value), text_of(value))
 
-    @property
+    @cached_property
     def absent(self) -> Column:
         return self.kind.isNull() | (self.kind == "VOID")
 
-    @property
+    @cached_property
     def is_text(self) -> Column:
         return F.coalesce(self.kind == "STRING", F.lit(False))
 
-    @property
+    @cached_property
     def blank(self) -> Column:
         return self.absent | (self.is_text & (strip(self.text) == ""))
 
-    @property
+    @cached_property
     def safe_text(self) -> Column:
         return self.is_text & ~F.coalesce(contains_nul(self.text), F.lit(False))
 
     def issue(self, reason: str) -> Column:
-        if self.name == "body":
-            shown = preview_body(self.value, self.kind, self.text)
-        else:
-            shown = preview(self.value, self.kind)
-        return make_issue(self.name, reason, shown)
+        shown = F.when(self.is_text, preview_body(self.text)) if self.name == "body" else None
+        return raw_issue(self.name, reason, self.value, self.kind, shown)
 
 
 @dataclass(frozen=True)
@@ -75,10 +71,28 @@ class Rule:
     issues: Callable[[Column], Column]
 
 
-def make_issue(field: str, reason: str, shown: Column) -> Column:
+def raw_issue(field: str, reason: str, value: Column | None, kind: Column | None, shown: Column | None = None) -> Column:
+    """An issue with the value itself; rendered by issue_list, or given as text in ``shown``."""
+
+    def typed(column: Column | None, type_name: str) -> Column:
+        return F.lit(None).cast(type_name) if column is None else column
+
     return F.struct(
-        F.lit(field).alias("field"), F.lit(reason).alias("reason"), shown.alias("value_preview")
-    ).cast(ISSUE_TYPE)
+        F.lit(field).alias("field"), F.lit(reason).alias("reason"), typed(value, "variant").alias("value"),
+        typed(kind, "string").alias("kind"), typed(shown, "string").alias("shown"),
+    )
+
+
+def issue_list(raw_issues: Column) -> Column:
+    """The issues that are not null, each with its value as a bounded preview."""
+
+    def render(issue: Column) -> Column:
+        shown = F.coalesce(issue.shown, preview(issue.value, issue.kind))
+        return F.struct(
+            issue.field.alias("field"), issue.reason.alias("reason"), shown.alias("value_preview")
+        )
+
+    return F.transform(F.array_compact(raw_issues), render)
 
 
 def optional_text(field: JsonField) -> Rule:
@@ -163,23 +177,17 @@ def tag_list(field: JsonField, items: Column) -> Rule:
         return F.when(usable(item), casefold(strip(item.text)))
 
     def item_issue(item: Column) -> Column:
-        shown = F.coalesce(
-            F.when(item.value.isNotNull(), preview(item.value, item.kind)),
-            F.when(item.kind == "STRING", preview_text(item.text)),
-            F.lit("null"),
-        )
-        return (
-            F.when(~usable(item), make_issue(field.name, "invalid_tag", shown))
-            .when(strip(item.text) == "", make_issue(field.name, "empty_tag", shown))
+        shown = F.when(item.value.isNull() & (item.kind == "STRING"), preview_text(item.text))
+        return F.when(~usable(item), raw_issue(field.name, "invalid_tag", item.value, item.kind, shown)).when(
+            strip(item.text) == "", raw_issue(field.name, "empty_tag", item.value, item.kind, shown)
         )
 
     tags = F.array_distinct(F.filter(F.transform(items, clean), lambda tag: tag != ""))
-    not_a_list = F.array(field.issue("invalid_tags"))
     return Rule(
         F.coalesce(tags, F.array().cast("array<string>")),
-        lambda _: F.when(items.isNotNull(), F.filter(F.transform(items, item_issue), lambda issue: issue.isNotNull()))
-        .when(~field.absent, not_a_list)
-        .otherwise(F.array().cast(f"array<{ISSUE_TYPE}>")),
+        lambda _: F.when(items.isNotNull(), F.transform(items, item_issue)).otherwise(
+            F.array(F.when(~field.absent, field.issue("invalid_tags")))
+        ),
     )
 
 

@@ -46,7 +46,6 @@ def preview_text(text: Column) -> Column:
     return _bounded(wrapped.substr(F.lit(6), F.length(wrapped) - 6))
 
 
-def preview_body(value: Column, kind: Column, text: Column) -> Column:
+def preview_body(text: Column) -> Column:
     """A body never shows its content."""
-    length = F.concat(F.lit("<body string length="), F.length(text).cast("string"), F.lit(">"))
-    return F.when(kind == "STRING", length).otherwise(preview(value, kind))
+    return F.concat(F.lit("<body string length="), F.length(text).cast("string"), F.lit(">"))

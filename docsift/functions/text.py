@@ -20,9 +20,11 @@ ASCII_WHITESPACE = " \t\n\r\x0b\x0c"
 _CHEROKEE_SMALL = "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
 _CHEROKEE_CAPITAL = "".join(map(chr, [*range(0x13A0, 0x13F0), *range(0x13F0, 0x13F6)]))
 
-# Code point ranges in which most letters are already in normal form; see stable_characters().
-_BLOCKS = ((0x80, 0x52F), (0x1E00, 0x1EFF), (0x2000, 0x203A), (0x20A0, 0x20BF), (0x2190, 0x21FF),
-           (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+# Blocks that hold nearly all letters in use; within them stable_characters() picks what qualifies.
+_BLOCKS = ((0x80, 0x233), (0x250, 0x2AF), (0x370, 0x3FF), (0x400, 0x52F), (0x1E00, 0x1EFF), (0x2000, 0x203A),
+           (0x20A0, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+# Shorter runs beyond Latin-1 and punctuation are left out, to keep the pattern quick.
+_SHORTEST_RUN = 5
 
 
 def strip(text: Column) -> Column:
@@ -37,20 +39,21 @@ def contains_nul(text: Column) -> Column:
     return F.contains(text, F.lit("\u0000"))
 
 
-def casefold(text: Column) -> Column:
-    """Full Unicode case folding with built-in functions.
+def _fold(text: Column) -> Column:
+    """Capitals first, small letters second gives the full folding, once the capital sharp s and the final sigma
+    are repaired, for all letters but Cherokee and the dotless i."""
+    capitals = F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))
+    return F.replace(F.lower(capitals), F.lit("ς"), F.lit("σ"))
 
-    Capitals first and small letters second gives the full folding for all letters but the capital sharp s,
-    the final sigma, Cherokee (all three repaired here) and the dotless i, which must stay as it is.
-    """
+
+def casefold(text: Column) -> Column:
+    """Full Unicode case folding with built-in functions."""
 
     def fold(part: Column) -> Column:
-        folded = F.replace(
-            F.lower(F.replace(F.upper(part), F.lit("ẞ"), F.lit("SS"))), F.lit("ς"), F.lit("σ")
-        )
         cherokee = F.lower(part).rlike(r"[\u13a0-\u13ff\uab70-\uabbf]")
-        return F.when(cherokee, F.translate(folded, _CHEROKEE_SMALL, _CHEROKEE_CAPITAL)).otherwise(folded)
+        return F.when(cherokee, F.translate(_fold(part), _CHEROKEE_SMALL, _CHEROKEE_CAPITAL)).otherwise(_fold(part))
 
+    # The dotless i has no other form and stays as it is.
     around_dotless = F.array_join(F.transform(F.split(text, "ı", -1), fold), "ı")
     return (
         F.when(is_ascii(text), F.lower(text))
@@ -64,6 +67,7 @@ def stable_characters() -> str:
 
     A character qualifies when it is its own NFKC form, is no combining mark and never is the second half
     of a composition. Whitespace qualifies too, because the canonical form turns it into a space anyway.
+    The dotless i does not, because it needs its own way of case folding.
     """
     second_halves = {
         int(parts[1], 16)
@@ -80,6 +84,7 @@ def stable_characters() -> str:
             and unicodedata.is_normalized("NFKC", char)
             and unicodedata.combining(char) == 0
             and code not in second_halves
+            and char != "ı"
         )
 
     ranges: list[list[int]] = []
@@ -91,22 +96,44 @@ def stable_characters() -> str:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges)
+    # The last ranges are tried first, so the commonest letters go to the end.
+    chosen = [
+        (low, high)
+        for low, high in reversed(ranges)
+        if high - low + 1 >= _SHORTEST_RUN or low < 0x100 or 0x2000 <= low < 0x2100 or chr(low) in WHITESPACE
+    ]
+    return "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in chosen)
 
 
-_STABLE = stable_characters()
+_STABLE_TEXT = rf"^[\x00-\x7f]*+(?:[{stable_characters()}]++[\x00-\x7f]*+)*+$"
+_ASCII_RUNS = r"[\t-\r\x1c-\x20]+"
+_WIDE_WHITESPACE = [char for char in WHITESPACE if char > "\x7f"]
 
 
 def needs_unicode_normalization(text: Column) -> Column:
     """True when the text holds a character whose NFKC form cannot be taken for granted."""
-    return F.coalesce(~is_ascii(text) & text.rlike(f"[^\\x00-\\x7f{_STABLE}]"), F.lit(False))
+    return F.coalesce(~is_ascii(text) & ~text.rlike(_STABLE_TEXT), F.lit(False))
+
+
+def _narrow_whitespace(text: Column) -> Column:
+    """Wide whitespace as plain spaces. Plain searches, as a pattern of this many characters is slow."""
+    present = F.lit(False)
+    replaced = text
+    for char in _WIDE_WHITESPACE:
+        present = present | F.contains(text, F.lit(char))
+        replaced = F.replace(replaced, F.lit(char), F.lit(" "))
+    return F.when(~is_ascii(text) & present, replaced).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
-    """Whitespace runs to one space, trimmed, case-folded; for texts that need no NFKC."""
-    not_a_space = WHITESPACE.replace(" ", "")
-    collapsed = F.regexp_replace(text, f"[{WHITESPACE}]{{2,}}|[{not_a_space}]", " ")
-    return casefold(F.trim(collapsed))
+    """Whitespace runs to one space, trimmed and case-folded; for texts of stable characters."""
+    collapsed = F.trim(F.regexp_replace(_narrow_whitespace(text), _ASCII_RUNS, " "))
+
+    def folded(value: Column) -> Column:
+        return F.when(is_ascii(value), F.lower(value)).otherwise(_fold(value))
+
+    # A transform over one element gives the collapsed text a name, so that it is computed once.
+    return F.element_at(F.transform(F.array(collapsed), folded), 1)
 
 
 def unicode_canonical():
