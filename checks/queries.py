@@ -30,7 +30,7 @@ LINE = ("source_file", "source_line")
 RUN = ("status", "processed", "inserted", "already_imported", "skipped", "warnings")
 LISTS = {
     "list_by_date": {"date_from": date(2020, 3, 1), "date_to": date(2021, 6, 30)},
-    "list_by_tag": {"tag": " SRC3 "},
+    "list_by_tag": {"tag": " EN "},
     "list_by_organization": {"organization": " src7 "},
     "list_by_status": {"status": "Published"},
     "list_by_text": {"q": "TION"},
