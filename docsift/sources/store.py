@@ -36,17 +36,20 @@ class DocumentStore:
         """Ids of the visible runs. This list is the store's manifest: one number per import, needed to plan a read."""
         return [row.id for row in self.runs().where("status = 'completed'").select("id").orderBy("id").collect()]
 
-    def table(self, name: str) -> DataFrame:
-        """A stored table as of now."""
+    def table(self, name: str, runs: list[int] | None = None) -> DataFrame:
+        """A stored table as of now, or as of the given list of runs."""
         if name == "ingestion_runs":
             return self.runs()
-        paths = [self._run_path(name, run_id) for run_id in self.completed_runs()]
+        visible = self.completed_runs() if runs is None else runs
+        paths = [self._run_path(name, run_id) for run_id in visible]
         if not paths:
             return self.spark.createDataFrame([], schema.TABLES[name])
         return self.spark.read.schema(schema.TABLES[name]).parquet(*paths)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in (*schema.TABLES, "ingestion_runs")}
+        """All tables as of the same moment."""
+        runs = self.completed_runs()
+        return {name: self.table(name, runs) for name in (*schema.TABLES, "ingestion_runs")}
 
     def _run_path(self, name: str, run_id: int) -> str:
         return f"{self.path}/{name}/run_id={run_id}"
