@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docsift.functions.text import ASCII_WHITESPACE
 from docsift.session import MAX_JSON_STRING
 
 # Stands behind the line inside an array. It is found there only if the line is exactly one JSON value,
@@ -18,7 +17,7 @@ _LOW_ALONE = r"(?<!\\u[dD][89abAB][0-9a-fA-F]{2})(?<!\\)((?:\\\\)*+)\\u[dD][c-fC
 
 
 def is_blank(raw: Column) -> Column:
-    return F.trim(raw, F.lit(ASCII_WHITESPACE)) == ""
+    return raw.rlike(r"^[ \t\n\r\x0b\x0c]*+$")
 
 
 def is_object(raw: Column) -> Column:

@@ -14,7 +14,6 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ASCII_WHITESPACE = " \t\n\r\x0b\x0c"
 
 # Cherokee folds its small letters to capitals, against the general direction.
 _CHEROKEE_SMALL = "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
@@ -28,7 +27,13 @@ _SHORTEST_RUN = 5
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
+    """Without whitespace at both ends. Most texts have none there, which their first and last character tell."""
+
+    def is_space(char: Column) -> Column:
+        return F.contains(F.lit(WHITESPACE), char)
+
+    at_an_end = is_space(F.substring(text, 1, 1)) | is_space(F.substring(text, -1, 1))
+    return F.when(at_an_end, F.trim(text, F.lit(WHITESPACE))).otherwise(text)
 
 
 def is_ascii(text: Column) -> Column:
