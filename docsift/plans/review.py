@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.operators.entities import known_entities
+from docsift.operators.hot_join import join_lookup
 from docsift.operators.numbering import number_rows
 from docsift.session import Workspace
 from docsift.sources.store import DocumentStore
@@ -121,32 +123,54 @@ def list_documents(
     return DocumentPage(page_of(documents, page, page_size, sort, workspace), documents.count(), page, page_size)
 
 
-def document_details(store: DocumentStore, documents: DataFrame | None = None) -> DataFrame:
-    """All columns of the documents with author and organization names and the tags in their given order."""
-    chosen = store.table("documents") if documents is None else documents
-    names = {kind: store.table(f"{kind}s").withColumnsRenamed({"id": f"{kind}_id", "name": f"{kind}_name"})
-             for kind in ("author", "organization")}
-    tags = store.table("tags").withColumnsRenamed({"id": "tag_id", "name": "tag"})
-    links = store.table("document_tags")
-    if documents is not None:
-        links = links.join(chosen.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    # A document's tags are few; a tag's documents may be many, but they are never brought together.
-    tag_lists = (
-        links.join(tags, "tag_id")
-        .groupBy(F.col("document_id").alias("id"))
-        .agg(F.array_sort(F.collect_list(F.struct("position", "tag"))).alias("placed"))
-        .select("id", F.col("placed.tag").alias("tags"))
+def _references(documents: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, kind, position, entity_id): all that the documents refer to, without their texts."""
+
+    def reference(kind: str):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("position"), F.col(f"{kind}_id").alias("entity_id"))
+
+    direct = documents.select("id", F.inline(F.array(reference("author"), reference("organization"))))
+    tagged = links.select(
+        F.col("document_id").alias("id"), F.lit("tag").alias("kind"), "position", F.col("tag_id").alias("entity_id")
+    )
+    return direct.where("entity_id IS NOT NULL").unionByName(tagged)
+
+
+def _with_names(documents: DataFrame, named: DataFrame) -> DataFrame:
+    """Documents with the names of (id, kind, position, name) gathered per document."""
+    tag = F.when(F.col("kind") == "tag", F.struct("position", "name"))
+    gathered = named.groupBy("id").agg(
+        F.max(F.when(F.col("kind") == "author", F.col("name"))).alias("author_name"),
+        F.max(F.when(F.col("kind") == "organization", F.col("name"))).alias("organization_name"),
+        F.array_sort(F.collect_list(tag)).alias("placed"),
     )
+    names = gathered.select("id", "author_name", "organization_name", F.col("placed.name").alias("tags"))
     return (
-        chosen.join(names["author"], "author_id", "left")
-        .join(names["organization"], "organization_id", "left")
-        .join(tag_lists, "id", "left")
+        documents.join(names, "id", "left")
         .withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
         .select(*DETAIL_COLUMNS)
     )
 
 
+def document_details(store: DocumentStore, workspace: Workspace | None = None) -> DataFrame:
+    """All columns of all documents with author and organization names and the tags in their given order.
+
+    Names are looked up on narrow rows, safely for names that many documents share, and gathered by document;
+    the documents' texts are joined once, by id.
+    """
+    tables = store.tables()
+    known = known_entities(tables["authors"], tables["organizations"], tables["tags"])
+    references = _references(tables["documents"], tables["document_tags"])
+    named = join_lookup(references, known, ["kind", "entity_id"], "inner", workspace or Workspace(store.spark))
+    return _with_names(tables["documents"], named)
+
+
 def get_document(store: DocumentStore, document_id: int) -> DataFrame:
     """The detail of one document; no row if there is none."""
-    one = store.table("documents").where(F.col("id") == document_id)
-    return document_details(store, one)
+    tables = store.tables()
+    document = tables["documents"].where(F.col("id") == document_id)
+    links = tables["document_tags"].where(F.col("document_id") == document_id)
+    known = known_entities(tables["authors"], tables["organizations"], tables["tags"])
+    # What one document refers to is as small as the document's own tag list.
+    named = known.join(F.broadcast(_references(document, links)), ["kind", "entity_id"])
+    return _with_names(document, named)
