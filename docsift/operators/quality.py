@@ -28,26 +28,26 @@ REFERENCES = (
 Tables = dict[str, DataFrame]
 
 
-def row_checks(table: str) -> dict[str, Column]:
-    """Check name and the condition under which a row breaks it."""
-    checks: dict[str, Column] = {}
+def row_checks(table: str) -> dict[str, str]:
+    """Check name and the SQL condition under which a row breaks it."""
+    checks: dict[str, str] = {}
     if table == "documents":
-        title, score = F.col("title"), F.col("completeness_score")
-        checks["documents_title_not_blank"] = title.isNull() | (F.trim(title) == "")
+        checks["documents_title_not_blank"] = "title IS NULL OR trim(title) = ''"
         for name in COUNTS:
-            checks[f"documents_{name}_nonnegative"] = F.col(name) < 0
-            checks[f"documents_{name}_fits_integer"] = F.col(name) > MAX_INTEGER
-        checks["documents_score_range"] = score.isNull() | ~score.between(0, 100)
-        tier = F.col("quality_tier")
-        checks["documents_quality_tier_valid"] = tier.isNull() | ~tier.isin("low", "medium", "high")
+            checks[f"documents_{name}_nonnegative"] = f"{name} < 0"
+            checks[f"documents_{name}_fits_integer"] = f"{name} > {MAX_INTEGER}"
+        checks["documents_score_range"] = "completeness_score IS NULL OR completeness_score NOT BETWEEN 0 AND 100"
+        checks["documents_quality_tier_valid"] = "quality_tier IS NULL OR quality_tier NOT IN ('low', 'medium', 'high')"
     for name, longest in MAX_LENGTHS.get(table, {}).items():
-        checks[f"{table}_{name}_length"] = F.length(name) > longest
+        checks[f"{table}_{name}_length"] = f"length({name}) > {longest}"
     return checks
 
 
 def broken_rows(table: str, rows: DataFrame) -> DataFrame:
     """(check_name, row_key): every row check of a table in one scan."""
-    failed = F.array_compact(F.array(*[F.when(broken, name) for name, broken in row_checks(table).items()]))
+    failed = F.array_compact(
+        F.array(*[F.when(F.expr(broken), name) for name, broken in row_checks(table).items()])
+    )
     return rows.select(F.explode(failed).alias("check_name"), F.col("id").cast("string").alias("row_key"))
 
 
