@@ -93,14 +93,13 @@ def page_of(
     workspace: Workspace | None = None,
     top_rows: int = TOP_ROWS,
 ) -> DataFrame:
-    """One page of the list columns, in order. ``workspace`` is needed for pages beyond ``top_rows`` only."""
+    """One page of the list columns, in order. ``workspace`` is used for pages beyond ``top_rows`` only."""
     offset = (page - 1) * page_size
     items = documents.select(*ITEM_COLUMNS)
     order = [F.col("completeness_score").desc(), F.col("id")] if sort == "score" else [F.col("id")]
     if offset + page_size <= top_rows:
         return items.orderBy(*order).offset(offset).limit(page_size)
-    if workspace is None:
-        raise ValueError("a page this far from the start needs a workspace")
+    workspace = workspace or Workspace(documents.sparkSession)
     narrow = documents.select("id", (-F.col("completeness_score")).alias("inverse_score"))
     numbered = number_rows(narrow, SORT_KEYS[sort], "ordinal", workspace)
     # At most page_size ids.
