@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from checks.queries import QUERIES
 
 SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="needs the test tables")
@@ -19,7 +20,7 @@ def oracle(spark):
     for path in SF_DIR.glob("*.parquet"):
         connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     statements = driver.oracle_sql()
-    assert set(statements) == set(driver.queries())
+    assert set(statements) >= set(QUERIES)
     return lambda name: connection.execute(statements[name]).fetch_df()
 
 
@@ -34,7 +35,7 @@ def as_rows(frame):
         lambda v: "" if v is None else v).values.tolist())
 
 
-@pytest.mark.parametrize("name", list(driver.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_its_sql(spark, oracle, name):
     ours = as_rows(driver.queries()[name](spark, str(SF_DIR)).toPandas())
     theirs = as_rows(oracle(name))
