@@ -22,6 +22,8 @@ HEADER_WORDS = 3
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits that each id needs."""
+    if not len(ids) or ids.max() < 2**53:  # exact as floating point: the exponent is the number of bits
+        return np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     bits = np.zeros(len(ids), dtype=np.uint8)
     rest = ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
@@ -45,6 +47,8 @@ def _selectors(ids: np.ndarray, block_ids: int) -> np.ndarray:
             if reach < n:
                 np.maximum(widest[: n - reach], bits[reach:], out=widest[: n - reach])
             reach += 1
+        if n and widest.min() > 60 // count:  # nor do more ids fit anywhere
+            break
         selector[(widest <= 60 // count) & (left >= count)] = number
     return selector
 
@@ -54,13 +58,17 @@ def pack(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     selector = _selectors(ids, block_ids)
-    steps = np.maximum(np.array(COUNTS, dtype=np.int64)[selector], 1).tolist()
-    starts: list[int] = []
-    at = 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    places = np.array(starts, dtype=np.int64)
+    steps = np.maximum(np.array(COUNTS, dtype=np.int64)[selector], 1)
+    # Where words begin, in all blocks side by side.
+    begins = np.zeros(n, dtype=bool)
+    at = np.arange(0, n, block_ids)
+    ends = np.minimum(at + block_ids, n)
+    while len(at):
+        begins[at] = True
+        at = at + steps[at]
+        going = at < ends
+        at, ends = at[going], ends[going]
+    places = np.flatnonzero(begins)
     chosen = selector[places]
     widths = 1 + (chosen == 0)
     word_at = np.cumsum(widths) - widths

@@ -1,15 +1,18 @@
 """Encoding with the files of public tokenizers, each chunk of text that a worker meets again only once.
 
-A text is cut where no match of the tokenizer's pattern can cross, so that its ids are those of its chunks in a row.
+A text is cut where no match of the tokenizer's pattern can cross, so that its ids are those of its chunks in a row. A
+chunk of plain characters is divided further, into the pattern's matches, which the tokenizer's model turns into ids;
+chunks with any other character go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from abc import ABC, abstractmethod
 from functools import cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,21 +20,40 @@ from tokenizers import Tokenizer
 from docsift.llm.common import ragged_positions
 
 # A worker forgets its chunks when it knows more than this, so that its memory stays bounded.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 700_000
 # Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 
 
+# Letters beyond ASCII that are their own composed form, with a lower case of one letter.
+_LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+
+
+def _byte_level_alphabet() -> dict[int, str]:
+    """Bytes that byte-level models write as another character: all but the visible ones, from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: chr(0x100 + place) for place, byte in enumerate(b for b in range(256) if b not in visible)}
+
+
+_ALPHABET = _byte_level_alphabet()
+
+
 class ChunkEncoder(ABC):
     """Ids of texts by a ``tokenizers`` file, without special tokens added."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self._forget()
 
+    # Chunks of plain characters, and the pattern's matches in them.
+    plain: re.Pattern
+    matches: re.Pattern
+
     def _forget(self) -> None:
         self.codes: dict = {}
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
         self.lengths = np.zeros(0, dtype=np.int64)
@@ -44,11 +66,32 @@ class ChunkEncoder(ABC):
     def chunk_text(self, key) -> str:
         """What a key stands for."""
 
+    def prepared(self, text: str) -> str:
+        """A plain chunk as the tokenizer's normaliser leaves it."""
+        return text
+
+    def _plain_ids(self, text: str) -> list[int] | None:
+        """The ids of a chunk of plain characters; None for others."""
+        if not self.plain.fullmatch(text):
+            return None
+        ids: list[int] = []
+        for piece in self.matches.findall(self.prepared(text)):
+            known = self.pieces.get(piece)
+            if known is None:
+                written = piece.encode().decode("latin-1").translate(_ALPHABET)
+                known = self.pieces[piece] = [token.id for token in self.model.tokenize(written)]
+            ids += known
+        return ids
+
     def _learn(self, keys: list) -> None:
-        encodings = self.tokenizer.encode_batch_fast([self.chunk_text(key) for key in keys], add_special_tokens=False)
-        found = [encoding.ids for encoding in encodings]
+        texts = list(map(self.chunk_text, keys))
+        found = list(map(self._plain_ids, texts))
+        others = [place for place, ids in enumerate(found) if ids is None]
+        encodings = self.tokenizer.encode_batch_fast([texts[place] for place in others], add_special_tokens=False)
+        for place, encoding in zip(others, encodings, strict=True):
+            found[place] = encoding.ids
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, flat])
@@ -77,17 +120,34 @@ class ChunkEncoder(ABC):
     def encode(self, texts: list[str]):
         """The ids of each text, in order."""
         start = 0
+        # The many small lists kept here hold no cycles; looking for some would take a large part of the time.
+        collecting = gc.isenabled()
         while start < len(texts):
             end, size = start, 0
             while end < len(texts) and (end == start or size < GROUP_CHARS):
                 size += len(texts[end])
                 end += 1
-            yield from self.group(texts[start:end])
+            gc.disable()
+            try:
+                found = self.group(texts[start:end])
+            finally:
+                if collecting:
+                    gc.enable()
+            yield from found
             start = end
 
 
 class WordEndEncoder(ChunkEncoder):
-    """For tokenizers whose pattern drops white space: cut at ASCII white space."""
+    """For tokenizers that lower-case and whose pattern drops white space: cut at ASCII white space."""
+
+    # Angle brackets could be part of a special token.
+    plain = re.compile(f"[!-;=?-~{_LETTERS}]*")
+    matches = re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z0-9{_LETTERS}]+"
+    )
+
+    def prepared(self, text: str) -> str:
+        return text.lower()
 
     def chunks(self, text: str) -> list[bytes]:
         return text.encode().split()
@@ -103,6 +163,11 @@ class ByteLevelEncoder(ChunkEncoder):
     one are encoded as a whole.
     """
 
+    plain = re.compile(f"[\n -;=?-~{_LETTERS}]*")
+    matches = re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{_LETTERS}]+| ?[0-9]+| ?[^\n A-Za-z0-9{_LETTERS}]+"
+        r"|[\n ]+(?![^\n ])|[\n ]+"
+    )
     FIRST = "\ud800"  # marks a text's first chunk, which has no space before it; no text holds this
     RUN = re.compile(r"\s ")
 
