@@ -35,7 +35,7 @@ ROW_SCHEMA = pa.schema([
     ("block", pa.int64()), ("route", pa.int64()), ("words", pa.binary()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("places", pa.binary()),
 ])
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 BUCKETS = 1024
 SEPARATOR = b"\xff"  # in no UTF-8 text
 BLOCKS_OF_PART = 1 << 32
@@ -123,7 +123,11 @@ def split_blocks(documents: DataFrame, pattern: str, buckets: int, block_chars:
 
         def close() -> Iterator[pa.RecordBatch]:
             words = [word.encode() for word in numbers]
-            counts = np.bincount(np.concatenate(coded), minlength=len(words)) if words else np.zeros(0, np.int64)
+            numbers.clear()
+            lengths = [len(codes) for codes in coded]
+            codes = np.concatenate(coded)
+            coded.clear()
+            counts = np.bincount(codes, minlength=len(words))
             order = np.argsort(-counts, kind="stable")
             place = np.empty(len(words), dtype=np.uint32)  # frequent words get small numbers
             place[order] = np.arange(len(words), dtype=np.uint32)
@@ -138,16 +142,15 @@ def split_blocks(documents: DataFrame, pattern: str, buckets: int, block_chars:
                     rows.append(_row(block, number, packer.compress(joined)))
                 start = end
             yield _batch(rows)
-            lengths = [len(codes) for codes in coded]
-            places = _pack(ranked, place[np.concatenate(coded)] if coded else place)
-            yield _batch([_row(block, buckets + block, None, doc_ids, lengths, places)])
+            yield _batch([_row(block, buckets + block, None, doc_ids, lengths, _pack(ranked, place[codes]))])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = matches(text.as_py())
+            for doc_id, scalar in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = scalar.as_py()
+                found = matches(text)
                 doc_ids.append(doc_id)
-                coded.append(np.array([numbers.setdefault(word, len(numbers)) for word in found], dtype=np.int64))
-                chars += len(text.as_py())
+                coded.append(np.array([numbers.setdefault(word, len(numbers)) for word in found], dtype=np.uint32))
+                chars += len(text)
                 if chars >= block_chars:
                     yield from close()
                     block, numbers, doc_ids, coded, chars = block + 1, {}, [], [], 0
