@@ -35,7 +35,7 @@ ROW_SCHEMA = pa.schema([
     ("block", pa.int64()), ("route", pa.int64()), ("words", pa.binary()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("places", pa.binary()),
 ])
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 BUCKETS = 1024
 SEPARATOR = b"\xff"  # in no UTF-8 text
 BLOCKS_OF_PART = 1 << 32
@@ -61,6 +61,12 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
+def decoded_bytes(ids: np.ndarray, path: str) -> bytes:
+    """What ids stand for: each one's entry of the token-byte table, in a row."""
+    table = token_bytes(path)
+    return b"".join([table[i] for i in ids.tolist()])
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of small numbers, compressed byte by byte place."""
     packer = zstandard.ZstdCompressor(level=3)
@@ -184,8 +190,9 @@ def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(encode, ROWS)
 
 
-def join_blocks(rows: DataFrame) -> DataFrame:
+def join_blocks(rows: DataFrame, path: str, decoded: bool) -> DataFrame:
     """Step 3. The rows of a block follow each other, words in order of their buckets, positions last."""
+    schema = IDS_SCHEMA.append(pa.field("decoded", pa.binary())) if decoded else IDS_SCHEMA
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(_rows(batches), "block"):
@@ -207,15 +214,16 @@ def join_blocks(rows: DataFrame) -> DataFrame:
                 words = places[at : at + n]
                 at += n
                 ids = flat[ragged_positions(starts[words], lengths[words])]
-                rows_out.append({"doc_id": doc_id, "n_tokens": len(ids), "ids": ids.tobytes()})
+                row = {"doc_id": doc_id, "n_tokens": len(ids), "ids": ids.tobytes()}
+                rows_out.append(row | {"decoded": decoded_bytes(ids, path)} if decoded else row)
                 held += len(ids)
                 if held > 1_000_000:
-                    yield pa.RecordBatch.from_pylist(rows_out, schema=IDS_SCHEMA)
+                    yield pa.RecordBatch.from_pylist(rows_out, schema=schema)
                     held, rows_out = 0, []
             if rows_out:
-                yield pa.RecordBatch.from_pylist(rows_out, schema=IDS_SCHEMA)
+                yield pa.RecordBatch.from_pylist(rows_out, schema=schema)
 
-    return rows.mapInArrow(join, IDS)
+    return rows.mapInArrow(join, f"{IDS}, decoded binary" if decoded else IDS)
 
 
 IDS = "doc_id long, n_tokens long, ids binary"
@@ -223,9 +231,11 @@ IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids"
 
 
 def encode_documents(documents: DataFrame, path: str, pattern: str, buckets: int = BUCKETS,
-                     block_chars: int = BLOCK_CHARS) -> DataFrame:
+                     block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian, unsigned, 32 bits each) of every row's whole text.
 
+    With ``decoded`` also the bytes that the ids stand for, found by the task that has put them together.
+
     ``path`` is a rank file and ``pattern`` its pattern for pre-tokens. A null text is the empty one and has no ids. A
     very long text is a block of its own. Repeated rows are encoded each, a null doc_id is carried along, other
     columns are ignored, an empty table gives no rows. ``buckets`` must grow with the number of distinct words, so
@@ -234,15 +244,14 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, buckets: int
     whole = documents.select("doc_id", whole_text().alias("whole"))
     met = split_blocks(whole, pattern, buckets, block_chars).repartition("route").sortWithinPartitions("route")
     back = encode_words(met, path, pattern).repartition("block").sortWithinPartitions("block", "route")
-    return join_blocks(back)
+    return join_blocks(back, path, decoded)
 
 
 def decode(path: str) -> Callable[[Column], Column]:
     """A function of a column of ids that gives the bytes they stand for: each id's entry of the token-byte table."""
 
     @F.pandas_udf("binary")
-    def decoded(rows: pd.Series) -> pd.Series:
-        table = token_bytes(path)
-        return rows.map(lambda ids: b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]))
+    def bytes_of(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda ids: decoded_bytes(np.frombuffer(ids, dtype="<u4"), path))
 
-    return decoded
+    return bytes_of
