@@ -7,7 +7,8 @@ which sequences; the pieces are then numbered by length, in many tasks, and look
 Reduction. Let L be the longest length not yet settled. A set that contains a piece of length L dominates every other
 one if what the other puts beside L fits piecewise into what it puts there itself. It is then safe to fix it:
 nothing beside L if nothing fits; the longest k that fits if it fills the sequence exactly, if no two further pieces
-fit, or if no three do and no pair beside L is longer than k. All other lengths are left for best fit.
+fit, or if no three do and no pair beside L is longer than k. Longer pieces that were not settled count among what may
+lie beside L. All lengths not settled are left for best fit.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ class Packing:
     capacity: int
     patterns: list[tuple[Pattern, int]] = field(default_factory=list)
     fixed: int = 0  # how many of the sequences the reduction fixed
+    steps: int = 0  # and how many of the patterns
 
 
 class Stock:
@@ -72,27 +74,23 @@ class Stock:
 
     def longest_pair(self, room: int, beside: int) -> int:
         """The largest sum of two pieces that does not exceed ``room``, not counting one of length ``beside``."""
-        most, high = 0, len(self.lengths) - 1
-        for low, length in enumerate(self.lengths):
-            while high > low and length + self.lengths[high] > room:
-                high -= 1
-            if high <= low:
-                break
-            partner = self.lengths[high]
-            usable = all(self.counts[x] - (x == beside) > 0 for x in (length, partner))
-            if usable:
-                most = max(most, length + partner)
-        for length in self.lengths:
-            if 2 * length <= room and self.counts[length] - (length == beside) > 1:
+        left = {x: n - (x == beside) for x, n in self.counts.items() if n > (x == beside)}
+        lengths = sorted(left)
+        most, high = 0, len(lengths) - 1
+        for low, length in enumerate(lengths):
+            if left[length] > 1 and 2 * length <= room:
                 most = max(most, 2 * length)
+            while high > low and length + lengths[high] > room:
+                high -= 1
+            if high > low:
+                most = max(most, length + lengths[high])
         return most
 
 
 def reduce_by_dominance(stock: Stock, packing: Packing) -> dict[int, int]:
     """Fix what is provably part of some best packing; returns the pieces by length that are left."""
-    left: dict[int, int] = {}
-    while stock.lengths:
-        length = stock.lengths[-1]
+    limit = packing.capacity
+    while (length := stock.longest_up_to(limit)) is not None:
         n, room = stock.counts[length], packing.capacity - length
         beside = stock.shortest(3, length)
         if not beside or beside[0] > room:
@@ -100,14 +98,13 @@ def reduce_by_dominance(stock: Stock, packing: Packing) -> dict[int, int]:
         else:
             partner = stock.longest_up_to(room)
             if partner == length and n == 1:
-                partner = stock.longest_up_to(length - 1)
+                partner = stock.longest_up_to(min(length - 1, room))
             fits = [sum(beside[:k]) <= room and len(beside) >= k for k in (1, 2, 3)]
             dominates = partner == room or not fits[1] or (
                 not fits[2] and stock.longest_pair(room, length) <= partner
             )
             if not dominates:
-                left[length] = n
-                stock.take(length, n)
+                limit = length - 1  # these stay, and shorter ones may still be put beside them
                 continue
             if partner == length:
                 pattern, times = ((length, 2),), n // 2
@@ -120,7 +117,8 @@ def reduce_by_dominance(stock: Stock, packing: Packing) -> dict[int, int]:
             stock.take(size, many * times)
         packing.patterns.append((pattern, times))
         packing.fixed += times
-    return left
+        packing.steps += 1
+    return dict(stock.counts)
 
 
 def best_fit(left: dict[int, int], packing: Packing) -> None:
