@@ -18,7 +18,7 @@ PLACEHOLDERS = ("n/a", "na", "not applicable")
 TRUE_WORDS = ("true", "yes", "1")
 FALSE_WORDS = ("false", "no", "0")
 STATUSES = ("published", "draft", "archived", "unknown")
-DOI_PATTERN = r"^10\.\d{4,9}/[^" + "\\s\\x0b\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000" + r"]+$"
+DOI_PATTERN = r"^10\.\p{Nd}{4,9}/[^" + "\\s\\x0b\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000" + r"]+$"
 # Characters whose compatibility form holds one of / ? # @ : and so would move the end of a host name.
 URL_DELIMITER_LOOKALIKES = (
     "\u2047\u2048\u2049\u2100\u2101\u2105\u2106\u2a74\ufe13\ufe16"

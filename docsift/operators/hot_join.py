@@ -47,7 +47,12 @@ def join_lookup(
     if small_enough(lookup, broadcast_rows, broadcast_bytes):
         return facts.join(F.broadcast(lookup), keys, how)
     hot = workspace.write(hot_keys(facts, keys), "hot-keys")
-    hot_lookup = lookup.join(F.broadcast(hot), keys, "left_semi")
+    if not small_enough(hot, HOT_KEYS, broadcast_bytes):
+        return facts.join(lookup, keys, how)
+    hot_lookup = workspace.write(lookup.join(F.broadcast(hot), keys, "left_semi"), "hot-lookup")
+    if not small_enough(hot_lookup, broadcast_rows, broadcast_bytes):
+        # Few keys, but too long to be sent to every task: Spark may still split the join's skewed partitions.
+        return facts.join(lookup, keys, how)
     hot_rows = facts.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_lookup), keys, how)
     other_rows = facts.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, how)
     return hot_rows.unionByName(other_rows)

@@ -156,5 +156,6 @@ def _run(open_lines, store: DocumentStore, source: str | None, batch_key: str |
             store.finish_run(
                 run_id, "failed", started_at, {**counters, "inserted": 0}, type(error).__name__, source, batch_key
             )
+            store.discard_run(run_id)
             raise RuntimeError("ingestion failed") from error
     return RunSummary(run_id, "completed", **counters)

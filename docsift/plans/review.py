@@ -80,7 +80,7 @@ def check_list_arguments(page: int, page_size: int, date_from: date | None, date
     if not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError(f"page_size must be from 1 to {MAX_PAGE_SIZE}")
     if date_from and date_to and date_from > date_to:
-        raise ValueError("date_from must be before or equal to date_to")
+        raise ValueError("the range of dates ends before it begins")
     if sort not in SORT_KEYS:
         raise ValueError("sort must be id or score")
 

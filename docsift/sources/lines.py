@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +15,41 @@ SUFFIXES = (".jsonl", ".ndjson")
 NAME_PATTERN = "*.{[jJ][sS][oO][nN][lL],[nN][dD][jJ][sS][oO][nN]}"
 
 
+def _as_pattern(path: str) -> str:
+    """A path pattern that stands for just this path."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _refuse_hidden(name: str) -> None:
+    """Spark passes over such files, so their lines would be missing without a word."""
+    if name.startswith(("_", ".")):
+        raise ValueError(f"{name}: Spark takes names that begin with _ or . for hidden files; rename it")
+
+
 def input_files(spark: SparkSession, path: str, folder: bool = False) -> str:
-    """Check that ``path`` is a line file, or with ``folder=True`` a folder that holds some; else ValueError."""
+    """Check ``path`` and return it as a pattern: a line file, or with ``folder=True`` a folder with some.
+
+    Anything else, and line files that Spark would pass over, are refused with ValueError.
+    """
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(target):
-        raise ValueError("input path does not exist or is not a file")
+        raise ValueError(f"no such file or folder: {path}")
     if folder and files.getFileStatus(target).isDirectory():
-        if not files.globStatus(jvm.org.apache.hadoop.fs.Path(target, NAME_PATTERN)):
-            raise ValueError("input folder holds no .jsonl or .ndjson file")
-        return path
+        names = [status.getPath().getName() for status in files.listStatus(target) if status.isFile()]
+        names = [name for name in names if name.lower().endswith(SUFFIXES)]
+        if not names:
+            raise ValueError(f"the folder has no line file ({', '.join(SUFFIXES)}): {path}")
+        for name in names:
+            _refuse_hidden(name)
+        return _as_pattern(path)
     if not files.getFileStatus(target).isFile():
-        raise ValueError("input path does not exist or is not a file")
+        raise ValueError(f"a folder is given where one file is asked for: {path}")
     if not target.getName().lower().endswith(SUFFIXES):
-        raise ValueError("input file must have a .jsonl or .ndjson extension")
-    return path
+        raise ValueError(f"the name of a line file ends with one of {', '.join(SUFFIXES)}: {path}")
+    _refuse_hidden(target.getName())
+    return _as_pattern(path)
 
 
 def read_text(reader, path: str) -> DataFrame:
@@ -46,10 +67,12 @@ def number_lines(text: DataFrame, workspace: Workspace) -> DataFrame:
     """source_file, source_line (from 1), line_order (over all files, by name), raw.
 
     Rows of one block of a file are consecutive in their task, so a line's number is its place in its
-    block plus the lines of the blocks before. One narrow pass counts lines per block; the counts are
-    broadcast, or with very many blocks joined by block, which is even because blocks are.
+    block plus the lines of the blocks before. The lines are scanned once, into a written table that fixes
+    which line is where, however the input might be split at another scan; everything else reads that table.
+    One narrow pass over it counts lines per block; the counts are broadcast, or with very many blocks joined
+    by block, which is even because blocks are.
     """
-    placed = text.withColumn("row_id", F.monotonically_increasing_id())
+    placed = workspace.write(text.withColumn("row_id", F.monotonically_increasing_id()), "lines")
     block = ["file_path", "source_file", "block_start"]
     counted = placed.groupBy(*block).agg(F.count("*").alias("lines"), F.min("row_id").alias("first_row"))
     counted = workspace.write(counted, "blocks")

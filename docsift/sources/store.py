@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.session import prepare
+from docsift.session import delete_folder, prepare
 from docsift.sources import schema
 
 
@@ -68,6 +68,11 @@ class DocumentStore:
         writer.parquet(self._run_path(name, run_id))
         return self.run_table(name, run_id)
 
+    def discard_run(self, run_id: int) -> None:
+        """Delete the rows of a run that failed; nobody can see them, and its id is not used again."""
+        for name in schema.TABLES:
+            delete_folder(self.spark, self._run_path(name, run_id))
+
     def next_run_id(self) -> int:
         last = self.runs().agg(F.max("id").alias("last")).first().last
         return (last or 0) + 1

@@ -12,6 +12,8 @@ from docsift.session import Workspace, delete_folder, shared_folder
 from docsift.sources.lines import SUFFIXES, number_lines, read_text
 from docsift.sources.store import DocumentStore
 
+ANY_AGE = "1000000d"
+
 
 def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
     """Write a frame with a text column ``raw`` as line files into the landing folder; returns the file names.
@@ -20,7 +22,7 @@ def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
     file. There is one file per partition, in partition order.
     """
     if not name.lower().endswith(SUFFIXES):
-        raise ValueError("file must have a .jsonl or .ndjson extension")
+        raise ValueError(f"the name of a line file ends with one of {', '.join(SUFFIXES)}: {name}")
     spark = lines.sparkSession
     jvm = spark._jvm
     staging = f"{shared_folder(spark)}/landing-{uuid.uuid4().hex}"
@@ -49,7 +51,8 @@ def import_landing_folder(
     Known documents live in the store, not in streaming state, so the state does not grow. A batch that is
     repeated after a failure finds its run published and does nothing.
     """
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_run)
+    # Without this, files more than a week older than the newest one would never be imported.
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_run).option("maxFileAge", ANY_AGE)
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
         key = f"{checkpoint}#{batch_id}"
