@@ -10,11 +10,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.feed import feed_lines, table
+from checks.feed import feed_lines, quoted, table
 from docsift.functions import fields as rules
-from docsift.functions.json_values import decode, decoded_value
+from docsift.functions.json_values import decode, decoded_value, text_of
 from docsift.operators.dedup import resolve_duplicates
 from docsift.operators.normalize import decode_lines, fingerprint_records, normalize_lines, record_keys
+from docsift.operators.numbering import number_rows
 from docsift.operators.quality import constraint_report
 from docsift.plans.events import run_events
 from docsift.plans.intake import intake_lines
@@ -130,6 +131,37 @@ def props_json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in a line with a property name, a number and a nesting near or beyond the parser's usual limits."""
+    prepare(spark)
+    head = "".join(('{"', "k" * 51_000, '":1,"n":', "7" * 1_100, ',"deep":', "[" * 900, "]" * 900, ",", '"text":'))
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit(head), quoted(F.coalesce("text", F.lit(""))), F.lit("}")).alias("raw")
+    )
+    text = text_of(F.try_variant_get("value", "$.text", "variant"))
+    return lines.select("doc_id", decoded_value(decode(F.col("raw"))).alias("value")).select(
+        "doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest")
+    )
+
+
+def dedup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in one chain: each shares its content with one neighbour and its DOI with the other."""
+    workspace = Workspace(spark)
+    numbered = number_rows(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "n", workspace)
+    records = workspace.write(
+        numbered.select(
+            "doc_id", F.col("n").alias("line_order"), F.expr("concat('c', (n + 1) div 2)").alias("doi"),
+            F.expr("concat('g', n div 2)").alias("content_fingerprint"),
+        ),
+        "chain",
+    )
+    nothing_stored = spark.createDataFrame([], "id bigint, doi string, content_fingerprint string")
+    decided = resolve_duplicates(records.drop("doc_id"), nothing_stored, 0, workspace)
+    return records.select("doc_id", "line_order").join(decided, "line_order").select(
+        "doc_id", F.col("id").isNotNull().alias("kept"), "existing_id", "reason"
+    )
+
+
 def page_url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The URL rule on every page; a kept URL is the given one."""
     prepare(spark)
@@ -281,12 +313,14 @@ QUERIES: dict[str, Query] = {
     "norm_doi": normalized("doi"),
     "completeness_scores": normalized("completeness_score", "quality_tier"),
     "props_json_types": props_json_types,
+    "long_values": long_values,
     "page_url_check": page_url_check,
     "content_fingerprints": content_fingerprints,
     "record_fingerprints": record_fingerprints,
     "content_duplicates": content_duplicates,
     "dedup_kept": dedup_kept,
     "dedup_reasons": dedup_reasons,
+    "dedup_chain": dedup_chain,
     "date_order_issues": date_order_issues,
     "issues_by_field_reason": issues_by_field_reason,
     "issue_table": stored("ingestion_issues", "id", *LINE, "external_id", "field", "reason", "value_preview"),

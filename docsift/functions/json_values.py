@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docsift.session import MAX_JSON_STRING
-
 # Stands behind the line inside an array. It is found there only if the line is exactly one JSON value,
 # so text after a complete value cannot go unnoticed. Any text that no input holds by chance will do.
 _END_MARK = "end-of-line-5f0c1c7e9ad84c0b"
@@ -15,6 +13,22 @@ _END_MARK = "end-of-line-5f0c1c7e9ad84c0b"
 _HIGH_ALONE = r"(?<!\\)((?:\\\\)*+)\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
 _LOW_ALONE = r"(?<!\\u[dD][89abAB][0-9a-fA-F]{2})(?<!\\)((?:\\\\)*+)\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 
+# What one VARIANT can hold.
+VARIANT_BYTES = 128 * 1024 * 1024
+# The parser's own limits on single values, lifted; the nesting counts the array around the line.
+_PARSER = {
+    "maxStringLen": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    "maxNestingDepth": "1001",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+# The parser takes no property name above this length.
+_NAME_LIMIT = 50_000
+# A string: its first 1,000 characters, then the rest of a name (dropped) or of anything else (kept).
+_ATOM = r'(?:[^"\\\x00-\x1f]|\\u[0-9a-fA-F]{4}|\\["\\/bfnrt])'
+_STRING = rf'("{_ATOM}{{0,1000}}+)(?:{_ATOM}*+(?="[ \t\r\n]*+:)|((?:[^"\\]|\\.)*+))"'
+
 
 def is_blank(raw: Column) -> Column:
     return raw.rlike(r"^[ \t\n\r\x0b\x0c]*+$")
@@ -31,11 +45,27 @@ def mark_lone_surrogates(raw: Column) -> Column:
     return F.when(raw.rlike(r"\\u[dD][89a-fA-F]"), repaired).otherwise(raw)
 
 
+def shorten_names(raw: Column) -> Column:
+    """Cut property names to 1,000 characters in lines that may hold one longer than the parser takes.
+
+    No field has such a name. Every string of the line is matched from its opening quote, so the pattern stays in step;
+    only a name whose whole rest is valid JSON is cut.
+    """
+    return F.when(F.length(raw) > _NAME_LIMIT, F.regexp_replace(raw, _STRING, '$1$2"')).otherwise(raw)
+
+
 def decode(raw: Column) -> Column:
-    """The line as VARIANT, or null when it is not strict JSON in valid UTF-8."""
-    parsed = F.try_parse_json(F.concat(F.lit("["), mark_lone_surrogates(raw), F.lit(f',"{_END_MARK}"]')))
-    too_long = F.raise_error(F.lit(f"a JSON line is longer than {MAX_JSON_STRING} characters and cannot be parsed"))
-    checked = F.when(parsed.isNull() & (F.length(raw) > MAX_JSON_STRING), too_long.cast("variant")).otherwise(parsed)
+    """The line as VARIANT, or null when it is not strict JSON in valid UTF-8 or nests deeper than 1,000 levels.
+
+    A valid line that is too large for a VARIANT fails the job; a malformed one is null at any length.
+    """
+    marked = F.concat(F.lit("["), shorten_names(mark_lone_surrogates(raw)), F.lit(f',"{_END_MARK}"]'))
+    parsed = F.from_json(marked, "variant", _PARSER)
+    valid = F.from_json(marked, "array<string>", _PARSER)[1] == _END_MARK
+    too_large = F.raise_error(F.lit(f"a line of valid JSON exceeds {VARIANT_BYTES} bytes")).cast("variant")
+    # The length comes first, so that other lines are parsed once.
+    lost = (F.octet_length(raw) > VARIANT_BYTES // 8) & parsed.isNull() & valid
+    checked = F.when(lost, too_large).otherwise(parsed)
     return F.when(~is_blank(raw) & F.is_valid_utf8(raw), checked)
 
 

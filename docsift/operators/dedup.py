@@ -5,9 +5,14 @@ dropped record claims no key. So whether a record is kept depends on whether the
 
 Each record gets a token: its place in the import order times two, plus one if it has both keys. Stored
 records get tokens below all new ones. A record that is the first on every key it has is kept and claims
-those keys. Records of which a key is claimed are dropped; those whose keys are all still open go to the
-next round. Few are left after the first round. Once a measured small number is left, one task settles
-them in order; how many rounds come before that never changes the result.
+those keys; records of which a key is claimed are dropped; those whose keys are all still open go to the
+next round. Few are left after the first round.
+
+From the second round on, chains are settled as a whole. A record that waits for exactly one earlier record is
+kept if and only if that one is dropped. So it points to it with one flip, pointers are doubled until they
+reach a record that does not wait for a single one, and the number of flips decides. A chain of any length takes one
+round, with steps that grow with the logarithm of its length. Records that wait for several others stay for later
+rounds; only nests of such records add rounds.
 """
 
 from __future__ import annotations
@@ -17,12 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.operators.hot_join import BROADCAST_ROWS, join_lookup, small_enough
+from docsift.operators.hot_join import join_lookup
 from docsift.operators.numbering import number_rows
 from docsift.session import Workspace
 
-# With at most this many key rows left, the rest is settled in order by one task.
-FINISH_ROWS = 100_000
 _STORED_SHIFT = 2**60
 
 
@@ -47,26 +50,38 @@ def key_rows(records: DataFrame, place: Column) -> DataFrame:
     return records.select(_token(place).alias("token"), F.explode(F.array_compact(keys)).alias("key"))
 
 
-def _settle_in_order(pending: DataFrame) -> DataFrame:
-    """The sequential rule on a measured small number of rows."""
+def _followers(pending: DataFrame, first: DataFrame, workspace: Workspace) -> DataFrame:
+    """(token, root, flips): pending records that wait for a single earlier one, and where their chain begins.
 
-    def claim(batches):
-        import pandas as pd
-
-        claimed = set()
-        for batch in batches:
-            rows = []
-            for token, keys in zip(batch["token"], batch["keys"], strict=True):
-                if claimed.isdisjoint(keys):
-                    claimed.update(keys)
-                    rows.extend((token, key) for key in keys)
-            yield pd.DataFrame(rows, columns=["token", "key"])
-
-    whole = pending.groupBy("token").agg(F.collect_list("key").alias("keys"))
-    return whole.coalesce(1).sortWithinPartitions("token").mapInPandas(claim, "token bigint, key string")
+    ``flips`` is the length of the way to ``root`` modulo two; ``root`` is no follower itself.
+    """
+    holders = first.select("key", F.col("token").alias("holder"))
+    waiting = join_lookup(pending, holders, ["key"], "inner", workspace).where("token <> holder")
+    waiting = workspace.write(waiting, "waiting")
+    second = workspace.write(waiting.groupBy("key").agg(F.min("token").alias("second")), "second-on-key")
+    links = (
+        join_lookup(waiting, second, ["key"], "inner", workspace)
+        .groupBy("token")
+        .agg(
+            F.max(F.col("token") > F.col("second")).alias("later"),
+            F.min("holder").alias("root"), F.max("holder").alias("other"),
+        )
+        .where("NOT later AND root = other")
+        .select("token", "root", F.lit(1).alias("flips"), F.lit(False).alias("done"))
+    )
+    links = workspace.write(links, "links")
+    while not links.where("NOT done").isEmpty():
+        ahead = links.select(F.col("token").alias("root"), F.col("root").alias("next"), F.col("flips").alias("more"))
+        moved = join_lookup(links.where("NOT done"), ahead, ["root"], "left", workspace).select(
+            "token", F.coalesce("next", "root").alias("root"),
+            F.pmod(F.col("flips") + F.coalesce("more", F.lit(0)), F.lit(2)).alias("flips"),
+            F.col("next").isNull().alias("done"),
+        )
+        links = workspace.write(links.where("done").unionByName(moved), "links")
+    return links.select("token", "root", "flips")
 
 
-def claimed_keys(keys: DataFrame, workspace: Workspace, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def claimed_keys(keys: DataFrame, workspace: Workspace) -> DataFrame:
     """(token, key): every claimed key with the kept record that claims it. ``keys`` is a written table."""
     claims: list[DataFrame] = []
     pending = keys
@@ -76,8 +91,14 @@ def claimed_keys(keys: DataFrame, workspace: Workspace, finish_rows: int = FINIS
         first = workspace.write(
             first.withColumn("kept", F.count("*").over(per_record) == 1 + _has_both(F.col("token"))), "first-on-key"
         )
-        claims.append(first.where("kept").select("token", "key"))
-        open_keys = workspace.write(first.where("NOT kept").select("key"), "open-keys")
+        claimed = first.where("kept").select("token", "key")
+        if claims:
+            roots = workspace.write(claimed.select(F.col("token").alias("root")).distinct(), "roots")
+            even = _followers(pending, first, workspace).where("flips = 0")
+            settled = join_lookup(even, roots, ["root"], "left_semi", workspace).select("token")
+            claimed = workspace.write(claimed.unionByName(pending.join(settled, "token", "left_semi")), "claimed")
+        claims.append(claimed)
+        open_keys = workspace.write(first.select("key").join(claimed, "key", "left_anti"), "open-keys")
         if open_keys.isEmpty():
             break
         still_open = join_lookup(pending, open_keys, ["key"], "left_semi", workspace)
@@ -87,11 +108,7 @@ def claimed_keys(keys: DataFrame, workspace: Workspace, finish_rows: int = FINIS
             .select("token", "key"),
             "pending",
         )
-        left = pending.count()
-        if left == 0:
-            break
-        if left <= finish_rows:
-            claims.append(workspace.write(_settle_in_order(pending), "settled"))
+        if pending.isEmpty():
             break
     return reduce(DataFrame.unionByName, claims)
 
@@ -101,7 +118,6 @@ def resolve_duplicates(
     stored: DataFrame,
     stored_count: int,
     workspace: Workspace,
-    finish_rows: int = FINISH_ROWS,
 ) -> DataFrame:
     """Decide on every record: (line_order, id, existing_id, reason).
 
@@ -111,12 +127,14 @@ def resolve_duplicates(
     """
     new_keys = workspace.write(key_rows(records, F.col("line_order")), "new-keys")
     stored_keys = key_rows(stored, F.col("id") - _STORED_SHIFT)
-    if stored_count and small_enough(new_keys, BROADCAST_ROWS, 64 * 1024 * 1024):
-        # Only a small import: of the stored documents just those that share a key can matter, with all their keys.
-        touched = stored_keys.join(F.broadcast(new_keys.select("key").distinct()), "key", "left_semi")
+    all_keys = new_keys
+    if stored_count:
+        # Of the stored documents just those that share a key can matter, with all their keys.
+        asked = workspace.write(new_keys.select("key").distinct(), "asked")
+        touched = join_lookup(stored_keys, asked, ["key"], "left_semi", workspace)
         stored_keys = _complete(stored_keys, touched.select("token"), workspace)
-    all_keys = workspace.write(stored_keys.unionByName(new_keys), "all-keys") if stored_count else new_keys
-    claims = claimed_keys(all_keys, workspace, finish_rows)
+        all_keys = workspace.write(stored_keys.unionByName(new_keys), "all-keys")
+    claims = claimed_keys(all_keys, workspace)
 
     kept = claims.where("token >= 0").select("token").distinct()
     numbered = number_rows(kept, ["token"], "ordinal", workspace).select(

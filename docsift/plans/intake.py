@@ -12,6 +12,7 @@ from docsift.operators.dedup import resolve_duplicates
 from docsift.operators.entities import (
     ENTITY_TABLES, foreign_keys, known_entities, resolve_entities, tag_links,
 )
+from docsift.operators.hot_join import BROADCAST_BYTES, BROADCAST_ROWS, small_enough
 from docsift.operators.normalize import fingerprint_records, normalize_lines, record_keys
 from docsift.operators.numbering import number_rows
 from docsift.operators.quality import violations
@@ -116,15 +117,19 @@ def load_lines(lines: DataFrame, store: DocumentStore, run_id: int, workspace: W
         ),
         "attached",
     )
+    # Few kept records find their texts without a shuffle; none of a repeated import's texts are moved at all.
+    few = small_enough(attached, BROADCAST_ROWS, BROADCAST_BYTES)
+    texts = records.where("outcome = 'accepted'").drop("content_fingerprint")
     written = {
-        "documents": records.where("outcome = 'accepted'").drop("content_fingerprint").join(attached, "line_order"),
+        "documents": texts.join(F.broadcast(attached) if few else attached, "line_order"),
         "document_tags": tag_links(entities.links),
         "ingestion_issues": issue_rows(records, decisions, run_id, last_issue, workspace),
     }
     for kind, table in ENTITY_TABLES.items():
         written[table] = entities.new_names.where(F.col("kind") == kind).withColumnRenamed("entity_id", "id")
     written = {name: store.write(name, rows, run_id) for name, rows in written.items()}
-    broken = violations(written, {name: stored[name] for name in written})
+    # Document ids are new and duplicates settled: only references and names can meet stored rows.
+    broken = violations(written, {name: stored[name] for name in ENTITY_TABLES.values()})
     first = broken.first()
     if first is not None:
         raise ConstraintViolation(f"{first.check_name}: {first.row_key}")

@@ -10,9 +10,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Values up to this length are read as one JSON string by Spark; longer ones are refused by its parser.
-MAX_JSON_STRING = 20_000_000
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time options the column expressions rely on."""

@@ -86,21 +86,21 @@ def random_store(seed, count, keys):
     ]
 
 
-def decide(spark, workspace, stored, records, **options):
+def decide(spark, workspace, stored, records):
     keys = workspace.write(spark.createDataFrame(records, KEYS).repartition(3), "keys")
-    rows = resolve_duplicates(keys, spark.createDataFrame(stored, STORED), len(stored), workspace, **options).collect()
+    rows = resolve_duplicates(keys, spark.createDataFrame(stored, STORED), len(stored), workspace).collect()
     assert len(rows) == len(records)
     return {row.line_order: (row.id, row.existing_id, row.reason) for row in rows}
 
 
 @pytest.mark.parametrize(
-    ("count", "keys", "stored", "options"),
-    [(400, 60, 0, {}), (400, 60, 0, {"finish_rows": 0}), (600, 300, 200, {}), (300, 25, 20, {"finish_rows": 0})],
+    ("count", "keys", "stored"),
+    [(400, 60, 0), (600, 300, 200), (300, 25, 20)],
 )
-def test_random_records_are_settled_in_order(spark, workspace, count, keys, stored, options):
+def test_random_records_are_settled_in_order(spark, workspace, count, keys, stored):
     before = random_store(count + 1, stored, keys)
     records = random_records(count, count, keys)
-    assert_settled(before, records, decide(spark, workspace, before, records, **options))
+    assert_settled(before, records, decide(spark, workspace, before, records))
 
 
 def test_a_dropped_record_claims_no_key(spark, workspace):
@@ -118,7 +118,19 @@ def test_long_chain_and_hot_keys(spark, workspace, monkeypatch):
     hot = [("hot", f"h{n}") for n in range(150)] + [("copy", "copy")] * 150
     random.Random(1).shuffle(hot)
     records = [(place, *keys) for place, keys in enumerate([*chain, *hot, (None, "h3"), ("new", "h149")])]
-    assert_settled([], records, decide(spark, workspace, [], records, finish_rows=0))
+    assert_settled([], records, decide(spark, workspace, [], records))
+
+
+def test_a_chain_of_any_length_takes_two_rounds(spark, workspace):
+    """Each record shares its text with one neighbour and its DOI with the other."""
+    written = []
+    write = workspace.write
+    workspace.write = lambda frame, name: (written.append(name), write(frame, name))[1]
+    records = [(n, f"c{(n + 1) // 2}", f"g{n // 2}") for n in range(500)]
+    decided = decide(spark, workspace, [], records)
+    assert [order for order in sorted(decided) if decided[order][0] is not None] == list(range(0, 500, 2))
+    assert written.count("first-on-key") == 2
+    assert written.count("links") <= 12
 
 
 def test_missing_fingerprint_of_the_stored_record_is_a_conflict(spark, workspace):
