@@ -27,6 +27,10 @@ class ConstraintViolation(Exception):
     """New rows break a constraint of the stored tables."""
 
 
+class ConcurrentImport(Exception):
+    """Ids and duplicates were settled against a store that has changed since."""
+
+
 @dataclass(frozen=True)
 class RunSummary:
     run_id: int
@@ -153,9 +157,11 @@ def _run(open_lines, store: DocumentStore, source: str | None, batch_key: str |
     with Workspace(store.spark) as workspace:
         # A refused path is the caller's mistake, not a failed run.
         lines = open_lines(workspace)
-        run_id = store.next_run_id()
+        run_id, before = store.claim_run(), store.completed_runs()
         try:
             load_lines(lines, store, run_id, workspace, counters)
+            if store.completed_runs() != before:
+                raise ConcurrentImport(f"another run was published while run {run_id} was at work")
             store.finish_run(run_id, "completed", started_at, counters, source=source, batch_key=batch_key)
         except Exception as error:
             store.finish_run(

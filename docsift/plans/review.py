@@ -50,6 +50,7 @@ def filter_documents(
 
     ``q`` is a literal, case-insensitive substring of title or body. Empty arguments set no condition.
     """
+    store = store.snapshot()
     documents = store.table("documents")
     if date_from is not None:
         documents = documents.where(F.col("published_at") >= F.lit(date_from))

@@ -68,7 +68,7 @@ def statistics(store: DocumentStore) -> DataFrame:
 
     The average score has no row value when there are no documents.
     """
-    spark = store.spark
+    spark, store = store.spark, store.snapshot()
     measures = document_measures(store)
 
     def report(metric: str, frame: DataFrame) -> DataFrame:

@@ -20,6 +20,15 @@ class DocumentStore:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = prepare(spark)
         self.path = path.rstrip("/")
+        self._fixed_runs: list[int] | None = None
+
+    def snapshot(self) -> DocumentStore:
+        """The store as of now: every table read from it shows the same runs, listed once."""
+        if self._fixed_runs is not None:
+            return self
+        fixed = DocumentStore(self.spark, self.path)
+        fixed._fixed_runs = self.completed_runs()
+        return fixed
 
     def _exists(self, path: str) -> bool:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,6 +43,8 @@ class DocumentStore:
 
     def completed_runs(self) -> list[int]:
         """Ids of the visible runs. This list is the store's manifest: one number per import, needed to plan a read."""
+        if self._fixed_runs is not None:
+            return self._fixed_runs
         return [row.id for row in self.runs().where("status = 'completed'").select("id").orderBy("id").collect()]
 
     def table(self, name: str, runs: list[int] | None = None) -> DataFrame:
@@ -77,6 +88,17 @@ class DocumentStore:
         last = self.runs().agg(F.max("id").alias("last")).first().last
         return (last or 0) + 1
 
+    def claim_run(self) -> int:
+        """An id for a new run that no other import can take: its marker is created exclusively."""
+        run_id = self.next_run_id()
+        while not self._create_new(f"{self.path}/run_claims/run-{run_id:012d}"):
+            run_id += 1
+        return run_id
+
+    def _create_new(self, path: str) -> bool:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(target)
+
     def totals(self) -> tuple[int, int]:
         """Stored documents and issues. As ids are dense, these are also the last ids."""
         row = (

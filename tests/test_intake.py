@@ -191,6 +191,25 @@ def test_failed_run_shows_nothing_but_its_row(spark, store, lines_of, monkeypatc
     assert events == ["ingestion_started", "ingestion_failed"]
 
 
+def test_imports_at_once_take_different_ids_and_only_one_is_published(spark, store, lines_of, monkeypatch):
+    lines = lines_of({"title": "Overlap"})
+    load = intake_module.load_lines
+
+    def overtaken(*arguments):
+        monkeypatch.setattr(intake_module, "load_lines", load)
+        assert intake_lines(lines, store).run_id == 2
+        load(*arguments)
+
+    monkeypatch.setattr(intake_module, "load_lines", overtaken)
+    view = store.snapshot()
+    with pytest.raises(RuntimeError, match="ingestion failed"):
+        intake_lines(lines, store)
+    runs = store.runs().orderBy("id").collect()
+    assert [(run.id, run.status, run.failure_reason) for run in runs] == [
+        (1, "failed", "ConcurrentImport"), (2, "completed", None)]
+    assert (store.table("documents").count(), view.table("documents").count()) == (1, 0)
+
+
 def test_constraint_violations_are_found(spark):
     documents = spark.createDataFrame(
         [(1, "10.1/a", "f", " ", -1, 50, "medium", 7), (2, "10.1/a", "f", "T" * 300, 2**31, 101, "top", None),
