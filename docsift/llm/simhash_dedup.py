@@ -37,26 +37,30 @@ SLICE = 1 << 15
 _LOWER = bytes(code + 32 if 65 <= code <= 90 else code for code in range(256))
 
 
-def fingerprint(text: str) -> int:
-    """The SimHash of a text's shingles: of each bit, whether more than half of the shingles' hashes have it."""
+def shingle_hashes(text: str, shingle_words: int) -> np.ndarray:
+    """The hashes of a text's shingles in order; a shorter text is one shingle, one without words has none."""
     words = text.encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
-    ends = ends[min(SHINGLE_WORDS, len(words)) - 1 :].tolist()
+    ends = ends[min(shingle_words, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(joined[start:end], SEED) for start, end in zip(starts, ends)), dtype="<u8", count=len(ends)
+    )
+
+
+def fingerprint(text: str) -> int:
+    """The SimHash of a text's shingles: of each bit, whether more than half of the shingles' hashes have it."""
+    hashes = shingle_hashes(text, SHINGLE_WORDS)
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(ends), SLICE):
-        hashes = np.array(
-            [digest(joined[start:end], SEED) for start, end in zip(starts[at : at + SLICE], ends[at : at + SLICE])],
-            dtype="<u8",
-        )
-        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
+    for at in range(0, len(hashes), SLICE):
+        bits = np.unpackbits(hashes[at : at + SLICE].view(np.uint8), bitorder="little").reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(bit) for bit in np.flatnonzero(2 * counts > len(ends))))
+    return int(sum(1 << int(bit) for bit in np.flatnonzero(2 * counts > len(hashes))))
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -181,7 +185,12 @@ def keep_one_of_each(documents: DataFrame, workspace: Workspace, radius: int = R
     Only narrow rows decide; texts are shuffled once, by doc_id, to meet the decision and each other.
     """
     found = near_duplicates(documents, workspace, radius)
-    keepers = workspace.write(found.where("doc_id = component_id").select("doc_id").distinct(), "keepers")
+    return keep_first_rows(documents, found.where("doc_id = component_id").select("doc_id").distinct(), workspace)
+
+
+def keep_first_rows(documents: DataFrame, keepers: DataFrame, workspace: Workspace) -> DataFrame:
+    """All columns of one row of each doc_id in ``keepers``, and all rows with a null doc_id."""
+    keepers = workspace.write(keepers, "keepers")
     rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
     kept = rows.join(keepers.select(F.col("doc_id").alias("key")), "key", "left_semi")
     first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))

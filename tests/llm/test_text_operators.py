@@ -22,6 +22,7 @@ from docsift.llm.best_fit import pack_documents, pack_lengths
 from docsift.llm.bk_tree import linked_groups
 from docsift.llm.compression_rules import judge_documents, keep_good
 from docsift.llm.secret_scan import MASK, RULES, Scanner, needs_full_scan, redact_documents, scan_documents
+from docsift.llm.shingle_dedup import keep_one_of_similar, similar_groups
 from docsift.llm.simhash_dedup import keep_one_of_each, near_duplicates
 from docsift.llm.simple8b import pack, unpack, unpack_block
 from docsift.llm.substring_dedup import COVER, PERIOD, WINDOW, remove_repeated_passages, remove_repeats
@@ -221,6 +222,57 @@ def test_simhash_components(tables, workspace):
         assert ids.count(None) == frame.where("doc_id IS NULL").count()
 
 
+def shingles_of(text):
+    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_components(documents):
+    """The least doc_id of each document's group, by all pairs."""
+    sets = [(i, shingles_of(t)) for i, t in documents if i is not None]
+    least = [i for i, _ in sets]
+    near = [
+        (a, b) for a, (_, x) in enumerate(sets) for b, (_, y) in enumerate(sets[:a])
+        if x == y or 5 * len(x & y) >= 4 * len(x | y) > 0
+    ]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in near:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    return sorted((i, x) for (i, _), x in zip(sets, least, strict=True))
+
+
+def near_copies(copies=40, seed=3):
+    """Texts, each followed by a copy with some words replaced."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for number in range(copies):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        texts.append(" ".join(w))
+        for place in rng.choice(200, number % 8, replace=False):
+            w[place] = f"changed{place}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_similar_groups(spark, tables, workspace):
+    made = spark.createDataFrame(list(enumerate(near_copies())), "doc_id long, text string")
+    for frame in [*tables, made]:
+        expected = similar_components(texts_of(frame))
+        found = similar_groups(frame, workspace).collect()
+        assert sorted((r.doc_id, r.component_id) for r in found) == expected
+        kept = keep_one_of_similar(frame, workspace)
+        assert kept.columns == frame.columns
+        ids = [r.doc_id for r in kept.collect()]
+        assert sorted(i for i in ids if i is not None) == sorted({x for _, x in expected})
+        assert ids.count(None) == frame.where("doc_id IS NULL").count()
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, made, str(SF_DIR))
+    assert sorted(r.doc_id for r in stage.collect()) == sorted({x for _, x in similar_components(texts_of(made))})
+
+
 def test_tree_groups():
     rng = np.random.default_rng(5)
     centres = [int(x) for x in rng.integers(0, 2**63, 5)]
