@@ -4,8 +4,13 @@ Zstandard's ratio (compressed bytes to bytes) of a whole text, and of its chunks
 that depend on the text's length: long texts compress better, as a compressor sees more to repeat. A text below its
 band repeats itself, one above it is noise. Chunks find repetition or noise that the rest of a long text hides.
 
-The limits are parameters, set once from labelled documents: natural prose lies well inside them, spam of repeated
-words or lines, tables and symbol noise below.
+The limits allow for scripts: what an alphabet says in a letter takes one byte in Latin and two or three elsewhere, so
+the lower limits are for compressed bytes per code point, and the upper ones rise with the bytes per code point, as
+signs of scripts with thousands of them compress less.
+
+The limits are parameters, set once below and above what real prose of some twenty languages gives; repeated words or
+lines lie below, base64 and random characters above. Prose with symbols strewn in and tables compress as manuals do, so
+shares of symbols tell them.
 """
 
 from __future__ import annotations
@@ -25,32 +30,43 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+# Symbols among the characters of words, and words that are nothing but symbols among the words.
+MAX_SYMBOL_PERCENT = 10
+MAX_SYMBOL_WORDS_PERCENT = 20
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits of the ratio by length in bytes: (from this length on, lowest, highest ratio), in order of length."""
+    """Limits by length in bytes, in order of length.
+
+    ``whole``: (from this length on, lowest bytes per code point, highest ratio of a script with one byte a code point).
+    ``chunks``: (from this length on, bytes of a chunk, lowest and highest as above).
+    """
 
     whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.15, 1.60),
-        (256, 0.46, 0.90),
-        (512, 0.43, 0.82),
-        (1024, 0.41, 0.74),
-        (2048, 0.41, 0.68),
-        (4096, 0.40, 0.64),
-        (8192, 0.385, 0.60),
-        (16384, 0.36, 0.58),
-        (65536, 0.33, 0.56),
+        (256, 0.40, 0.95),
+        (512, 0.37, 0.86),
+        (1024, 0.33, 0.76),
+        (2048, 0.32, 0.70),
+        (4096, 0.30, 0.66),
+        (8192, 0.28, 0.63),
+        (16384, 0.26, 0.61),
+        (65536, 0.23, 0.60),
     )
-    chunk_bytes: int = 4096
-    # Limits for a full chunk, and the share of a text's full chunks that may lie outside them.
-    chunk: tuple[float, float] = (0.43, 0.64)
+    chunks: tuple[tuple[int, int, float, float], ...] = ((4096, 4096, 0.26, 0.62),)
+    # The share of a text's full chunks that may lie outside their limits.
     outside_share: float = 0.5
+    # What the highest ratio rises by with every further byte per code point.
+    script_rise: float = 0.2
     level: int = 3
 
     def limits(self, size: int) -> tuple[float, float]:
         return next((low, high) for least, low, high in reversed(self.whole) if size >= least)
 
+    def chunk(self, size: int) -> tuple[int, float, float] | None:
+        return next((chunk for least, *chunk in reversed(self.chunks) if size >= least), None)
+
 
 @dataclass
 class BandJudge:
@@ -63,21 +79,27 @@ class BandJudge:
     def ratio(self, data: bytes | memoryview) -> float:
         return len(self.compressor.compress(data)) / len(data)
 
+    def within(self, ratio: float, data: bytes | memoryview, low: float, high: float) -> bool:
+        """Whether the ratio of the data, UTF-8 or a stretch of it, lies within limits for one byte a code point."""
+        continued = np.count_nonzero((np.frombuffer(data, np.uint8) & 0xC0) == 0x80)
+        width = len(data) / max(1, len(data) - continued)
+        return low <= ratio * width and ratio <= high * (1 + self.bands.script_rise * (width - 1))
+
     def __call__(self, data: bytes) -> tuple[float, float, bool]:
-        """The whole ratio, the share of full chunks outside their limits, and whether the text is within its band.
+        """The whole ratio, the share of chunks outside their limits, and whether the text is within its band.
 
-        An empty text has ratio 1 and no chunks, and is not rejected here.
+        Only full chunks count. An empty text has ratio 1 and no chunks, and is not rejected here.
         """
         if not data:
             return 1.0, 0.0, True
-        low, high = self.bands.limits(len(data))
-        whole = self.ratio(data)
-        size, view = self.bands.chunk_bytes, memoryview(data)
-        chunk_low, chunk_high = self.bands.chunk
-        places = range(0, len(data) - size + 1, size)
-        outside = sum(not chunk_low <= self.ratio(view[at : at + size]) <= chunk_high for at in places)
-        share = outside / len(places) if len(places) else 0.0
-        return whole, share, low <= whole <= high and share <= self.bands.outside_share
+        whole, share = self.ratio(data), 0.0
+        chunk = self.bands.chunk(len(data))
+        if chunk is not None:
+            size, low, high = chunk
+            view, last = memoryview(data), len(data) - size
+            parts = [view[at : at + size] for at in range(0, last + 1, size)]
+            share = sum(not self.within(self.ratio(part), part, low, high) for part in parts) / len(parts)
+        return whole, share, self.within(whole, data, *self.bands.limits(len(data))) and share <= self.bands.outside_share
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -110,6 +132,12 @@ def text_figures(text: str, words: list[bytes]) -> tuple[int, int, int, int, int
     )
 
 
+def mostly_symbols(words: list[bytes], word_chars: int, n_symbols: int) -> bool:
+    """Symbol noise and tables, which compress like prose."""
+    alone = sum(not word.strip(SYMBOLS.encode()) for word in words)
+    return 100 * n_symbols > MAX_SYMBOL_PERCENT * word_chars or 100 * alone > MAX_SYMBOL_WORDS_PERCENT * len(words)
+
+
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VERDICT_SCHEMA = (
     ", ".join(f"{name} long" for name in FIGURES)
@@ -125,8 +153,10 @@ def verdict(bands: Bands = Bands()) -> Callable[[Column], Column]:
         judge, rows = BandJudge(bands), []
         for text in texts:
             text = text or ""
-            figures = text_figures(text, words_of(text))
+            words = words_of(text)
+            figures = text_figures(text, words)
             whole, outside, within = judge(text.encode())
+            within = within and not mostly_symbols(words, figures[1], figures[2])
             failed = figures[0] < MIN_WORDS or 100 * figures[4] > MAX_REPEAT_PERCENT * figures[0]
             rows.append((*figures, failed, within and not failed, whole, outside))
         return pd.DataFrame(rows, columns=[*FIGURES, "base_failed", "kept", "ratio", "chunks_outside"])

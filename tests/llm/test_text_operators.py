@@ -146,6 +146,39 @@ def test_clean_documents_are_kept(spark, corpus):
     assert judge_documents(made).where("kept").isEmpty()
 
 
+# From the Universal Declaration of Human Rights, not used to set the limits.
+DECLARATIONS = {
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and "
+    "should act towards one another in a spirit of brotherhood. Everyone is entitled to all the rights and freedoms set forth "
+    "in this Declaration, without distinction of any kind, such as race, colour, sex, language, religion, political or other "
+    "opinion, national or social origin, property, birth or other status. Everyone has the right to life, liberty and "
+    "security of person. No one shall be held in slavery or servitude; slavery and the slave trade shall be prohibited in "
+    "all their forms. No one shall be subjected to torture or to cruel, inhuman or degrading treatment or punishment.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны "
+    "поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми свободами, "
+    "провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, цвета кожи, пола, "
+    "языка, религии, политических или иных убеждений, национального или социального происхождения, имущественного, "
+    "сословного или иного положения. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность. "
+    "Никто не должен содержаться в рабстве или в подневольном состоянии; рабство и работорговля запрещаются во всех их видах.",
+}
+
+
+def kept_texts(spark, texts):
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [row.kept for row in judge_documents(made).orderBy("doc_id").collect()]
+
+
+def test_prose_of_other_scripts_is_kept(spark, corpus):
+    labels = spark.read.parquet(str(SF_DIR / "labels.parquet"))
+    good = judge_documents(corpus).join(labels, "doc_id").where("quality = 1 AND NOT base_failed")
+    texts = [row.text for row in corpus.join(good.select("doc_id"), "doc_id").collect()]
+    cyrillic = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абцдефгхижклмнопярстуввхыз")
+    assert all(kept_texts(spark, [text.lower().translate(cyrillic) for text in texts]))
+    licenses = [path.read_text() for name in ("Apache-2.0", "MPL-2.0", "GPL-3")
+                if (path := Path("/usr/share/common-licenses", name)).exists()]
+    assert all(kept_texts(spark, [*DECLARATIONS.values(), *licenses]))
+
+
 def test_secrets(tables):
     assert needs_full_scan() == ["hex"]
     scanner = Scanner()
