@@ -2,7 +2,8 @@
 
 Zstandard's ratio (compressed bytes to bytes) of a whole text, and of its chunks of fixed size, must lie within limits
 that depend on the text's length: long texts compress better, as a compressor sees more to repeat. A text below its
-band repeats itself, one above it is noise. Chunks find repetition or noise that the rest of a long text hides.
+band repeats itself, one above it is noise. Chunks find repetition or noise that the rest of a long text hides; they
+cover a text to its last byte.
 
 The limits allow for scripts: what an alphabet says in a letter takes one byte in Latin and two or three elsewhere, so
 the lower limits are for compressed bytes per code point, and the upper ones rise with the bytes per code point, as
@@ -54,9 +55,13 @@ class Bands:
         (16384, 0.26, 0.61),
         (65536, 0.23, 0.60),
     )
-    chunks: tuple[tuple[int, int, float, float], ...] = ((4096, 4096, 0.26, 0.62),)
-    # The share of a text's full chunks that may lie outside their limits.
-    outside_share: float = 0.5
+    chunks: tuple[tuple[int, int, float, float], ...] = (
+        (512, 512, 0.37, 0.80),
+        (2048, 1024, 0.32, 0.72),
+        (16384, 4096, 0.26, 0.62),
+    )
+    # The share of a text's chunks that may lie outside their limits: none of fewer than ten.
+    outside_share: float = 0.1
     # What the highest ratio rises by with every further byte per code point.
     script_rise: float = 0.2
     level: int = 3
@@ -88,7 +93,8 @@ class BandJudge:
     def __call__(self, data: bytes) -> tuple[float, float, bool]:
         """The whole ratio, the share of chunks outside their limits, and whether the text is within its band.
 
-        Only full chunks count. An empty text has ratio 1 and no chunks, and is not rejected here.
+        The last chunk is the text's last bytes and may overlap the one before. An empty text has ratio 1 and no chunks,
+        and is not rejected here; texts below the shortest chunk have none either.
         """
         if not data:
             return 1.0, 0.0, True
@@ -97,7 +103,7 @@ class BandJudge:
         if chunk is not None:
             size, low, high = chunk
             view, last = memoryview(data), len(data) - size
-            parts = [view[at : at + size] for at in range(0, last + 1, size)]
+            parts = [view[at : at + size] for at in (*range(0, last, size), last)]
             share = sum(not self.within(self.ratio(part), part, low, high) for part in parts) / len(parts)
         return whole, share, self.within(whole, data, *self.bands.limits(len(data))) and share <= self.bands.outside_share
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -179,6 +180,28 @@ def test_prose_of_other_scripts_is_kept(spark, corpus):
     assert all(kept_texts(spark, [*DECLARATIONS.values(), *licenses]))
 
 
+def test_hidden_noise_is_found(spark, corpus):
+    rng = np.random.default_rng(4)
+    labels = spark.read.parquet(str(SF_DIR / "labels.parquet")).where("quality = 1")
+    good = [row.text for row in corpus.join(labels, "doc_id").orderBy("doc_id").collect() if len(words(row.text)) >= 50]
+    clean = re.sub(r"[^ -~]", "", " ".join(dict.fromkeys(good)))
+    clean = clean * (1 + 200_000 // len(clean))
+
+    def noise(n):
+        return base64.b64encode(rng.bytes(n)).decode()[:n]
+
+    def spam(n):
+        return ("Buy cheap watches now at our great shop, best prices! " * n)[:n]
+
+    made = [clean[:8192] + noise(4000), clean[:4096] + noise(1200), clean[:700] + noise(400)]
+    made += [clean[: n * 7 // 10] + noise(n * 3 // 10) for n in (8_000, 32_000)]
+    made += [clean[:52_000] + spam(13_000), clean[:16_000] + noise(8_000) + spam(8_000)]
+    found = judge_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()
+    assert [row.doc_id for row in found if row.kept] == []
+    assert [row.doc_id for row in found if row.base_failed] in ([], [5])
+    assert all(kept_texts(spark, [clean[:n] for n in (600, 1100, 4095, 8192, 12_000)]))
+
+
 def test_secrets(tables):
     assert needs_full_scan() == ["hex"]
     scanner = Scanner()
