@@ -57,7 +57,12 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule(
         "private_key",
-        r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z0-9+/=]{16,})*(?:\s*-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+        # To the next END line, whatever stands between (headers, escaped line ends, short lines). If the next BEGIN line or
+        # the text's end comes first: the headers and base64 that follow, and a short last line that looks like base64.
+        r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:(?:(?:\s|\\+[nrt])*(?:(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash): ?[^\r\n\\]*|[A-Za-z0-9+/=]{16,}))+"
+        r"(?:(?:\s|\\+[nrt])+(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]{1,15}(?![A-Za-z0-9+/=]))?)?)",
     ),
 )
 RULES = BASE_RULES + MORE_RULES

@@ -226,6 +226,26 @@ def test_secrets(tables):
     assert MASK in redact_documents(tables[0]).where("doc_id = 13").first().text
 
 
+def test_whole_private_keys_are_found(spark):
+    body = base64.b64encode(np.random.default_rng(6).bytes(1201)).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    short = [*lines[:-1], "Ab3dE9=="]
+    keys = [
+        "\n".join([begin, *headers, *lines, end]), "\\n".join([begin, *lines, end, ""])[:-2], "\n".join([begin, *short, end]),
+        "\\n".join([begin, *headers, *lines]), "\n".join([begin, *headers, *short]), "\r\n".join([begin, *short]), begin,
+        "\n".join([begin, "\n".join(f"> {line}" for line in lines), end]),
+    ]
+    texts = [f"Before it {key}{after}" for key in keys for after in ("", " and after it.", "\n-----BEGIN CERTIFICATE-----")]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in scan_documents(made).collect():
+        spans = [span for span in row.spans.split(",") if span.startswith("private_key:")]
+        assert spans == [f"private_key:10:{10 + len(keys[row.doc_id // 3])}"], (row.doc_id, spans)
+    for row in redact_documents(made).collect():
+        assert row.text == "Before it " + MASK + texts[row.doc_id][10 + len(keys[row.doc_id // 3]) :]
+
+
 def test_difference_cover():
     for a in range(PERIOD):
         for b in range(PERIOD):
