@@ -41,11 +41,13 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
         encoder = word_end_encoder(tokenizer)
         part = TaskContext.get().partitionId()
         doc_ids: list = []
+        lengths: list[int] = []
         parts: list[np.ndarray] = []
         held = before = number = 0
 
+        end = np.array([end_id], dtype=np.uint32)
+
         def close() -> pa.RecordBatch:
-            lengths = [len(ids) for ids in parts]
             return pa.RecordBatch.from_pylist(
                 [{"part": part, "segment": number, "ids_before": before, "doc_ids": doc_ids, "lengths": lengths,
                   "payload": pack(np.concatenate(parts))}],
@@ -56,12 +58,13 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer: str, end_id:
             keys = batch.column(0).to_pylist()
             for doc_id, ids in zip(keys, encoder.encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id)
-                parts.append(np.append(ids, np.uint32(end_id)))
+                parts += (ids, end)
+                lengths.append(len(ids) + 1)
                 held += len(ids) + 1
                 if held >= segment_ids:
                     yield close()
                     before, number = before + held, number + 1
-                    doc_ids, parts, held = [], [], 0
+                    doc_ids, lengths, parts, held = [], [], [], 0
         if parts:
             yield close()
 

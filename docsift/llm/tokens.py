@@ -11,6 +11,7 @@ import gc
 import os
 import re
 from abc import ABC, abstractmethod
+from collections import defaultdict
 from functools import cache
 from itertools import chain, islice
 
@@ -52,7 +53,8 @@ class ChunkEncoder(ABC):
     matches: re.Pattern
 
     def _forget(self) -> None:
-        self.codes: dict = {}
+        self.codes: defaultdict = defaultdict()
+        self.codes.default_factory = self.codes.__len__
         self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(0, dtype=np.uint32)
         self.starts = np.zeros(0, dtype=np.int64)
@@ -107,7 +109,7 @@ class ChunkEncoder(ABC):
             keys = self.chunks(text)
             coded.append(
                 None if keys is None
-                else np.array([codes.setdefault(key, len(codes)) for key in keys], dtype=np.int64)
+                else np.fromiter(map(codes.__getitem__, keys), dtype=np.int64, count=len(keys))
             )
         if len(codes) > known:
             self._learn(list(islice(codes, known, None)))
