@@ -1,8 +1,9 @@
 """Packing documents into sequences: Martello and Toth's dominance reduction, then best fit for what is left.
 
 How pieces are packed depends on their lengths only, so the packing is worked out on how many pieces there are of each
-length: at most ``capacity`` numbers, whatever the corpus. The plan says which run of the pieces of a length goes to
-which sequences; the pieces are then numbered by length, in many tasks, and look up their run.
+length: at most ``capacity`` numbers, whatever the corpus. Every step of the reduction uses up a length, and best fit
+handles sequences with equal contents together, so the plan does not grow with the corpus. It says which run of the
+pieces of a length goes to which sequences; the pieces are then numbered by length, in many tasks, and look up their run.
 
 Reduction. Let L be the longest length not yet settled. A set that contains a piece of length L dominates every other
 one if what the other puts beside L fits piecewise into what it puts there itself. It is then safe to fix it:
@@ -94,7 +95,7 @@ def reduce_by_dominance(stock: Stock, packing: Packing) -> dict[int, int]:
         n, room = stock.counts[length], packing.capacity - length
         beside = stock.shortest(3, length)
         if not beside or beside[0] > room:
-            pattern, times = ((length, 1),), n if length > room else 1
+            pattern, times = ((length, 1),), n  # a single one, if two of them would fit
         else:
             partner = stock.longest_up_to(room)
             if partner == length and n == 1:
@@ -106,13 +107,12 @@ def reduce_by_dominance(stock: Stock, packing: Packing) -> dict[int, int]:
             if not dominates:
                 limit = length - 1  # these stay, and shorter ones may still be put beside them
                 continue
+            # Holds for each of them in turn: taking pieces away lets no more fit and makes no pair longer, and the
+            # partner stays the longest that fits while there is one.
             if partner == length:
                 pattern, times = ((length, 2),), n // 2
-            elif partner == room or not fits[1]:
-                # Holds for each of them: partners of this length are used up first, and nothing shorter changes.
-                pattern, times = ((length, 1), (partner, 1)), min(n, stock.counts[partner])
             else:
-                pattern, times = ((length, 1), (partner, 1)), 1
+                pattern, times = ((length, 1), (partner, 1)), min(n, stock.counts[partner])
         for size, many in pattern:
             stock.take(size, many * times)
         packing.patterns.append((pattern, times))
