@@ -13,7 +13,7 @@ from docsift.llm.best_fit import pack_documents
 from docsift.llm.common import table
 from docsift.llm.compression_rules import keep_good
 from docsift.llm.secret_scan import redact_documents
-from docsift.llm.shingle_dedup import keep_one_of_similar
+from docsift.llm.simhash_dedup import keep_one_of_each
 from docsift.llm.substring_dedup import remove_repeated_passages
 from docsift.session import Workspace
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles are similar to 0.8 and more, the smallest doc_id stays."""
-    return keep_one_of_similar(docs, Workspace(spark))
+    """Of each group of texts linked by fingerprints of four-word shingles that differ in at most 4 bits, one stays."""
+    return keep_one_of_each(docs, Workspace(spark))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
