@@ -19,12 +19,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.llm.bk_tree import linked_groups
 from docsift.llm.common import whole_text
-from docsift.operators.components import connected_components
+from docsift.llm.components import connected_components
+from docsift.operators.hot_join import join_lookup
 from docsift.session import Workspace
 
 SHINGLE_WORDS = 4
@@ -63,19 +64,24 @@ def fingerprint(text: str) -> int:
     return int(sum(1 << int(bit) for bit in np.flatnonzero(2 * counts > len(hashes))))
 
 
+def text_hash() -> Column:
+    """A 64-bit hash of a row's text, null being the empty one."""
+    return F.xxhash64(whole_text())
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of every row; a null text is the empty one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
+    """doc_id, text_hash and fingerprint (the 64 bits as a signed long) of every row; a null text is the empty one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fingerprint", pa.int64())])
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(text.as_py()) for text in batch.column(1)], dtype=np.uint64)
+            found = np.array([fingerprint(text.as_py()) for text in batch.column(2)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], schema=schema
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array(found.view(np.int64))], schema=schema
             )
 
-    whole = documents.select("doc_id", whole_text().alias("whole"))
-    return whole.mapInArrow(computed, "doc_id long, fingerprint long")
+    whole = documents.select("doc_id", text_hash().alias("text_hash"), whole_text().alias("whole"))
+    return whole.mapInArrow(computed, "doc_id long, text_hash long, fingerprint long")
 
 
 def _shards(distinct: DataFrame) -> DataFrame:
@@ -151,6 +157,21 @@ def _stars(members: DataFrame, radius: int) -> DataFrame:
     return met.mapInArrow(linked, "a long, b long")
 
 
+def _grouped(documents: DataFrame, workspace: Workspace, radius: int, shard_limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' ids, texts' hashes and fingerprints, and the component of each fingerprint: two written tables."""
+    if not 0 <= radius <= 4:
+        raise ValueError("the shards find links of at most 4 bits")
+    rows = workspace.write(fingerprints(documents), "fingerprints")
+    distinct = workspace.write(rows.select("fingerprint").distinct(), "distinct")
+    members = _split_large(_shards(distinct), shard_limit, workspace)
+    stars = workspace.write(_stars(members, radius).distinct(), "stars")
+    linked = connected_components(stars, workspace)
+    of_node = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select(
+        "fingerprint", F.coalesce("component", "fingerprint").alias("component")
+    )
+    return rows, workspace.write(of_node, "components")
+
+
 def near_duplicates(documents: DataFrame, workspace: Workspace, radius: int = RADIUS,
                     shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """doc_id, fingerprint (long) and component_id of every row.
@@ -160,41 +181,36 @@ def near_duplicates(documents: DataFrame, workspace: Workspace, radius: int = RA
     of its fingerprint but names none (null if nothing else is in it). Repeated rows are in the same component. Other
     columns are ignored; an empty table gives no rows.
     """
-    if not 0 <= radius <= 4:
-        raise ValueError("the shards find links of at most 4 bits")
-    rows = workspace.write(fingerprints(documents), "fingerprints")
-    distinct = workspace.write(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "distinct")
-    members = _split_large(_shards(distinct.select("fingerprint")), shard_limit, workspace)
-    stars = workspace.write(_stars(members, radius).distinct(), "stars")
-    linked = connected_components(stars, workspace)
-    of_node = distinct.join(linked, distinct["fingerprint"] == linked["node"], "left").select(
-        "fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("component")
-    )
-    of_node = workspace.write(of_node, "components")
+    rows, components = _grouped(documents, workspace, radius, shard_limit)
+    least = workspace.write(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "least-ids")
+    of_node = workspace.write(components.join(least, "fingerprint"), "of-node")
     named = of_node.groupBy("component").agg(F.min("least_id").alias("component_id"))
     labelled = workspace.write(
         of_node.join(named, "component").select("fingerprint", "component_id"), "labelled"
     )
-    # Rows with one fingerprint may be a third of all; they meet one row, and the join may be split.
-    return rows.join(labelled, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    # Rows with one fingerprint may be a third of all; they meet one row.
+    return join_lookup(rows, labelled, ["fingerprint"], "inner", workspace).select(
+        "doc_id", "fingerprint", "component_id"
+    )
 
 
 def keep_one_of_each(documents: DataFrame, workspace: Workspace, radius: int = RADIUS) -> DataFrame:
     """All columns of one row of each component: of its smallest doc_id. Rows with a null doc_id all stay.
 
-    Only narrow rows decide; texts are shuffled once, by doc_id, to meet the decision and each other.
+    A row is known by its doc_id and its text's hash, so rows of one doc_id with texts of different components stay,
+    one for each component; of rows equal in both one stays. Only narrow rows decide; texts are shuffled once, by
+    that key, to meet the decision and each other.
     """
-    found = near_duplicates(documents, workspace, radius)
-    return keep_first_rows(documents, found.where("doc_id = component_id").select("doc_id").distinct(), workspace)
-
-
-def keep_first_rows(documents: DataFrame, keepers: DataFrame, workspace: Workspace) -> DataFrame:
-    """All columns of one row of each doc_id in ``keepers``, and all rows with a null doc_id."""
-    keepers = workspace.write(keepers, "keepers")
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"))
-    kept = rows.join(keepers.select(F.col("doc_id").alias("key")), "key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text")))
-    return (
-        kept.withColumn("place", first).where("place = 1").select("row.*")
-        .unionByName(documents.where("doc_id IS NULL"))
+    rows, components = _grouped(documents.where("doc_id IS NOT NULL"), workspace, radius, SHARD_LIMIT)
+    kinds = workspace.write(rows.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "kinds")
+    keepers = kinds.join(components, "fingerprint").groupBy("component").agg(F.min("first").alias("first"))
+    keepers = workspace.write(
+        keepers.select(F.col("first.doc_id").alias("key"), F.col("first.text_hash").alias("text_hash")), "keepers"
+    )
+    keyed = documents.where("doc_id IS NOT NULL").select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), text_hash().alias("text_hash")
     )
+    # The number of equal rows is limited in each task first, so they do not meet in one.
+    once = F.row_number().over(Window.partitionBy("key", "text_hash").orderBy("key"))
+    kept = keyed.withColumn("place", once).where("place = 1").join(keepers, ["key", "text_hash"], "left_semi")
+    return kept.select("row.*").unionByName(documents.where("doc_id IS NULL"))

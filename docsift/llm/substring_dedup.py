@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -133,7 +134,8 @@ def _repeated(places: DataFrame, name: str) -> DataFrame:
     """key and an array of the places whose hashes occur again; its length is bounded by the document's."""
     times = F.count("*").over(Window.partitionBy("first", "second"))
     again = places.withColumn("times", times).where("known OR times > 1")
-    return again.groupBy("key").agg(F.collect_list("place").alias(name))
+    # A set: rows repeated with their doc_id share a key, and their places are the same.
+    return again.groupBy("key").agg(F.collect_set("place").alias(name))
 
 
 def cut(text: str, removed: np.ndarray, layout: bool) -> str:
@@ -221,9 +223,11 @@ def remove_repeated_passages(documents: DataFrame, workspace: Workspace) -> Data
 
     A null text stays null.
     """
-    marked = documents.withColumn("text_was_null", F.col("text").isNull())
+    names = {name.lower() for name in documents.columns}
+    flag = next(name for name in map("text_was_null_{}".format, count()) if name not in names)
+    marked = documents.withColumn(flag, F.col("text").isNull())
     found = remove_repeats(marked, workspace, layout=True)
-    text = F.when(~F.col("row.text_was_null"), F.col("kept"))
+    text = F.when(~F.col(f"row.{flag}"), F.col("kept"))
     columns = {
         "text": text.alias("text"),
         "n_chars": F.length(text).cast("long").alias("n_chars"),

@@ -14,16 +14,16 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docsift.llm import byte_bpe, shards
-from docsift.llm.best_fit import pack_documents, pack_lengths
+from docsift.llm.best_fit import pack_documents, pack_lengths, plan_rows
 from docsift.llm.bk_tree import linked_groups
-from docsift.llm.compression_rules import judge_documents, keep_good
+from docsift.llm.compression_rules import Bands, judge_documents, keep_good
 from docsift.llm.secret_scan import MASK, RULES, Scanner, needs_full_scan, redact_documents, scan_documents
-from docsift.llm.shingle_dedup import keep_one_of_similar, similar_groups
 from docsift.llm.simhash_dedup import keep_one_of_each, near_duplicates
 from docsift.llm.simple8b import pack, unpack, unpack_block
 from docsift.llm.substring_dedup import COVER, PERIOD, WINDOW, remove_repeated_passages, remove_repeats
@@ -298,55 +298,34 @@ def test_simhash_components(tables, workspace):
         assert ids.count(None) == frame.where("doc_id IS NULL").count()
 
 
-def shingles_of(text):
-    w = words(re.sub("[A-Z]", lambda m: m.group().lower(), text))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def similar_components(documents):
-    """The least doc_id of each document's group, by all pairs."""
-    sets = [(i, shingles_of(t)) for i, t in documents if i is not None]
-    least = [i for i, _ in sets]
-    near = [
-        (a, b) for a, (_, x) in enumerate(sets) for b, (_, y) in enumerate(sets[:a])
-        if x == y or 5 * len(x & y) >= 4 * len(x | y) > 0
+def test_one_doc_id_with_several_texts(spark, workspace):
+    unlike = [" ".join(f"{kind}{(i * i + kind) % 101}" for i in range(60)) for kind in range(13)]
+    rows = [(kind % 2, text, f"row {kind}") for kind, text in enumerate(unlike)]
+    # Copies under the same and other ids, and a row repeated as a whole.
+    rows += [(0, unlike[0], "again"), (7, unlike[1], "copy"), (9, unlike[2] + " end", "near"), *[(5, unlike[3], "same")] * 4]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    kept = [(row.doc_id, row.text) for row in keep_one_of_each(frame, workspace).collect()]
+    marks = {text: simhash(text) for _, text, _ in rows}
+    assert all((marks[a] ^ marks[b]).bit_count() > 4 for i, a in enumerate(unlike) for b in unlike[:i])
+    assert sorted(kept) == sorted((kind % 2, text) for kind, text in enumerate(unlike))
+
+
+def test_flag_columns_survive(spark, workspace):
+    rows = [(1, PROSE, "mine", "x"), (2, PROSE, "yours", None), (3, None, None, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, text_was_null string, Text_Was_Null_0 string")
+    found = remove_repeated_passages(frame, workspace).orderBy("doc_id").collect()
+    assert [(r[2], r[3]) for r in found] == [r[2:] for r in rows]
+    assert [words(r.text or "") for r in found] == [[], [], []] and found[2].text is None
+
+
+def test_packing_plan_does_not_grow(spark):
+    rng = np.random.default_rng(1)
+    base = Counter(np.clip(rng.lognormal(5.5, 1, 4000), 20, 2048).astype(int).tolist())
+    sizes = [
+        (lambda packing, counts: (packing.steps, len(list(plan_rows(packing, counts)))))(pack_lengths(counts, 2048), counts)
+        for times in (10, 10_000) for counts in [{length: n * times for length, n in base.items()}]
     ]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in near:
-            if least[a] != least[b]:
-                least[a] = least[b] = min(least[a], least[b])
-                changed = True
-    return sorted((i, x) for (i, _), x in zip(sets, least, strict=True))
-
-
-def near_copies(copies=40, seed=3):
-    """Texts, each followed by a copy with some words replaced."""
-    rng = np.random.default_rng(seed)
-    texts = []
-    for number in range(copies):
-        w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
-        texts.append(" ".join(w))
-        for place in rng.choice(200, number % 8, replace=False):
-            w[place] = f"changed{place}"
-        texts.append(" ".join(w))
-    return texts
-
-
-def test_similar_groups(spark, tables, workspace):
-    made = spark.createDataFrame(list(enumerate(near_copies())), "doc_id long, text string")
-    for frame in [*tables, made]:
-        expected = similar_components(texts_of(frame))
-        found = similar_groups(frame, workspace).collect()
-        assert sorted((r.doc_id, r.component_id) for r in found) == expected
-        kept = keep_one_of_similar(frame, workspace)
-        assert kept.columns == frame.columns
-        ids = [r.doc_id for r in kept.collect()]
-        assert sorted(i for i in ids if i is not None) == sorted({x for _, x in expected})
-        assert ids.count(None) == frame.where("doc_id IS NULL").count()
-    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, made, str(SF_DIR))
-    assert sorted(r.doc_id for r in stage.collect()) == sorted({x for _, x in similar_components(texts_of(made))})
+    assert sizes[0][0] == sizes[1][0] <= len(base) and sizes[1][1] < 1.2 * sizes[0][1]
 
 
 def test_tree_groups():
@@ -474,6 +453,86 @@ def test_reduction_keeps_the_optimum():
         assert used <= fewest(items) + 1
 
 
+def kept_by_rules(text):
+    """The quality rules' verdict, with the limits of ``Bands`` looked up anew."""
+    bands, w, data = Bands(), words(text), text.encode()
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    if len(w) < 50 or 2 * len(covered) > len(w):
+        return False
+    marks = re.findall(r"[#*$%&|<>]", text)
+    if len(marks) > 0.1 * sum(map(len, w)) or len([x for x in w if not re.sub(r"[#*$%&|<>]", "", x)]) > 0.2 * len(w):
+        return False
+
+    def outside(part, low, high):
+        ratio = len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+        width = len(part) / max(1, len([byte for byte in part if byte & 0xC0 != 0x80]))
+        return ratio * width < low or ratio > high * (1 + 0.2 * (width - 1))
+
+    if outside(data, *[limits for least, *limits in bands.whole if len(data) >= least][-1]):
+        return False
+    fitting = [rest for least, *rest in bands.chunks if len(data) >= least]
+    if not fitting:
+        return True
+    size, low, high = fitting[-1]
+    starts = [*range(0, len(data) - size, size), len(data) - size]
+    return 10 * sum(outside(data[at : at + size], low, high) for at in starts) <= len(starts)
+
+
+def without_repeats(texts):
+    split = [words(text) for text in texts]
+    times = Counter(tuple(w[k : k + 35]) for w in split for k in range(len(w) - 34))
+    gone = [{k + x for k in range(len(w) - 34) if times[tuple(w[k : k + 35])] > 1 for x in range(35)} for w in split]
+    return [[x for k, x in enumerate(w) if k not in removed] for w, removed in zip(split, gone, strict=True)]
+
+
+BASE_SECRETS = re.compile(
+    r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}|AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}"""
+)
+
+
+def test_pipeline_by_plain_python(spark, corpus, tmp_path):
+    """Each stage's decisions, worked out again in plain Python from what the stage before kept."""
+    good = [row.text for row in corpus.orderBy("doc_id").collect() if kept_by_rules(row.text or "")][:40]
+    passage = " ".join(f"passage{i % 53} of{i * i % 97} words{i}" for i in range(20))
+    rows = [(i, text, "en", "site", len(text)) for i, text in enumerate(good)]
+    planted = [good[0], good[1], good[2] + " end", good[3] + " " + passage, passage + "\n" + good[4], "spam spam " * 90, "", None]
+    planted += [f'{good[5]} {good[6]}\npassword = "{HEX}"', base64.b64encode(np.random.default_rng(2).bytes(3000)).decode()]
+    rows += [(100 + i, text, "en", "site", len(text or "")) for i, text in enumerate(planted)]
+    frame = spark.createDataFrame(rows, corpus.schema).repartition(3)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    kept = stages["quality_rules"](spark, frame, "")
+    expected = [(i, t) for i, t, *_ in rows if kept_by_rules(t or "")]
+    assert texts_of(kept) == sorted(expected)
+    assert 100 in dict(expected) and not {105, 106, 107, 109} & set(dict(expected))
+
+    marks = {i: simhash(t) for i, t in expected}
+    least = {i: i for i in marks}
+    for _ in marks:
+        for a in marks:
+            least[a] = min(least[b] for b in marks if (marks[a] ^ marks[b]).bit_count() <= 4)
+    expected = [(i, t) for i, t in expected if least[i] == i]
+    single = stages["simhash_near_dedup"](spark, kept, "")
+    assert texts_of(single) == sorted(expected) and not {100, 101} & set(dict(expected))
+
+    cut = stages["substring_dedup"](spark, single, "")
+    left = without_repeats([t for _, t in expected])
+    assert [(i, words(t)) for i, t in texts_of(cut)] == sorted((i, w) for (i, _), w in zip(expected, left, strict=True))
+    assert not any("passage7" in t for _, t in texts_of(cut))
+
+    masked = stages["secret_scans"](spark, cut, "")
+    before, after = texts_of(cut), texts_of(masked)
+    assert any(BASE_SECRETS.search(t) for _, t in before) and not any(BASE_SECRETS.search(t) for _, t in after)
+    assert all(a == b or MASK in b for (_, a), (_, b) in zip(before, after, strict=True))
+
+    packed = stages["best_fit_packing"](spark, masked, "")
+    assert check_packing(packed.collect(), expected_pieces(after, 2048), 2048)
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert rows_of(corpus_pipeline.run(spark, str(tmp_path)), *columns) == rows_of(packed, *columns)
+
+
 def test_pipeline(spark, tmp_path):
     sf_dir = str(SF_DIR)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
