@@ -121,18 +121,15 @@ def resolve_duplicates(
 ) -> DataFrame:
     """Decide on every record: (line_order, id, existing_id, reason).
 
-    ``records`` is a written table (line_order, doi, content_fingerprint); ``stored`` has (id, doi,
-    content_fingerprint) with ids 1..stored_count. Kept records have the next dense ``id`` in import order;
-    duplicates have the ``existing_id`` they repeat and the ``reason``.
+    ``records`` is a written table (line_order, doi, content_fingerprint). ``stored`` has the stored documents that
+    share a key with one of them, each once with both its keys (id, doi, content_fingerprint); others change nothing.
+    ``stored_count`` documents are stored in all, with ids from 1 on. Kept records have the next dense ``id`` in import
+    order; duplicates have the ``existing_id`` they repeat and the ``reason``.
     """
     new_keys = workspace.write(key_rows(records, F.col("line_order")), "new-keys")
-    stored_keys = key_rows(stored, F.col("id") - _STORED_SHIFT)
     all_keys = new_keys
     if stored_count:
-        # Of the stored documents just those that share a key can matter, with all their keys.
-        asked = workspace.write(new_keys.select("key").distinct(), "asked")
-        touched = join_lookup(stored_keys, asked, ["key"], "left_semi", workspace)
-        stored_keys = _complete(stored_keys, touched.select("token"), workspace)
+        stored_keys = key_rows(stored, F.col("id") - _STORED_SHIFT)
         all_keys = workspace.write(stored_keys.unionByName(new_keys), "all-keys")
     claims = claimed_keys(all_keys, workspace)
 
@@ -177,9 +174,3 @@ def resolve_duplicates(
         F.when(F.col("id").isNull(), F.coalesce("doi_id", "content_id")).alias("existing_id"),
         reason.alias("reason"),
     )
-
-
-def _complete(keys: DataFrame, tokens: DataFrame, workspace: Workspace) -> DataFrame:
-    """All key rows of the named stored records."""
-    wanted = workspace.write(tokens.distinct(), "touched")
-    return join_lookup(keys, wanted, ["token"], "left_semi", workspace)

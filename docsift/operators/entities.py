@@ -17,7 +17,9 @@ ENTITY_TABLES = {"author": "authors", "organization": "organizations", "tag": "t
 
 @dataclass(frozen=True)
 class Entities:
-    new_names: DataFrame  # kind, name, entity_id
+    new_names: DataFrame  # kind, name, entity_id, first_id (of the document that brings it)
+    known_names: DataFrame  # kind, name, entity_id: stored names that are mentioned
+    names: DataFrame  # kind, name, entity_id: all names that are mentioned
     links: DataFrame  # id (of the document), kind, position, entity_id
 
 
@@ -44,37 +46,40 @@ def known_entities(authors: DataFrame, organizations: DataFrame, tags: DataFrame
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def resolve_entities(kept: DataFrame, known: DataFrame, workspace: Workspace) -> Entities:
-    """Give each new name the next id of its kind, in order of first appearance, and link every mention.
+def mentioned_names(kept: DataFrame, workspace: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: all mentions, and (kind, name, first_id, first_position) of each name.
 
-    Names are counted with map-side combination, so a name on a third of all documents is no burden; the
-    join back to the mentions goes through join_lookup for the same reason.
+    Names are counted with map-side combination, so a name on a third of all documents is no burden.
     """
     mentions = workspace.write(entity_mentions(kept), "mentions")
     # A name occurs at most once per kind in a document, so the earliest document decides the position too.
     names = mentions.groupBy("kind", "name").agg(
         F.min("id").alias("first_id"), F.min_by("position", "id").alias("first_position")
     )
-    seen = workspace.write(names.join(known, ["kind", "name"], "left"), "names")
-    ordered = number_rows(
-        seen.where("entity_id IS NULL").drop("entity_id"), ["kind", "first_id", "first_position"], "ordinal", workspace
-    )
+    return mentions, workspace.write(names, "names")
+
+
+def resolve_entities(
+    mentions: DataFrame, names: DataFrame, known: DataFrame, last_ids: dict[str, int], workspace: Workspace
+) -> Entities:
+    """Give each new name the next id of its kind, in order of first appearance, and link every mention.
+
+    ``known`` has the stored names among those mentioned (kind, name, entity_id), ``last_ids`` the last id of each kind.
+    """
+    known = workspace.write(known, "known-names")
+    fresh = names.join(known.select("kind", "name"), ["kind", "name"], "left_anti")
+    ordered = number_rows(fresh, ["kind", "first_id", "first_position"], "ordinal", workspace)
     # One row per kind, three in all.
     starts = ordered.groupBy("kind").agg(F.min("ordinal").alias("start"))
-    last_ids = known.groupBy("kind").agg(F.max("entity_id").alias("last_id"))
-    new_names = (
-        ordered.join(F.broadcast(starts), "kind")
-        .join(F.broadcast(last_ids), "kind", "left")
-        .select(
-            "kind",
-            "name",
-            (F.coalesce("last_id", F.lit(0)) + F.col("ordinal") - F.col("start") + 1).alias("entity_id"),
-        )
+    last_id = F.create_map(*[F.lit(x) for kind in ENTITY_TABLES for x in (kind, last_ids.get(kind, 0))])
+    new_names = ordered.join(F.broadcast(starts), "kind").select(
+        "kind", "name", (last_id[F.col("kind")] + F.col("ordinal") - F.col("start") + 1).alias("entity_id"), "first_id"
     )
     new_names = workspace.write(new_names, "new-names")
-    lookup = seen.where("entity_id IS NOT NULL").select("kind", "name", "entity_id").unionByName(new_names)
-    links = join_lookup(mentions, workspace.write(lookup, "name-ids"), ["kind", "name"], "inner", workspace)
-    return Entities(new_names, workspace.write(links.select("id", "kind", "position", "entity_id"), "links"))
+    lookup = workspace.write(known.unionByName(new_names.drop("first_id")), "name-ids")
+    links = join_lookup(mentions, lookup, ["kind", "name"], "inner", workspace)
+    links = workspace.write(links.select("id", "kind", "position", "entity_id"), "links")
+    return Entities(new_names, known, lookup, links)
 
 
 def foreign_keys(links: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ def decode_lines(lines: DataFrame) -> DataFrame:
 
 
 def normalize_lines(lines: DataFrame) -> DataFrame:
-    """One row per line: provenance, outcome, the 21 clean source fields, score, tier and issues.
+    """One row per line: provenance (with ``run_id``, if there is one), outcome, the 21 clean source fields, score, tier and issues.
 
     A projection ends where its columns are used more than once, so that nothing is computed twice. Write the
     result before filtering on it: a filter would be pushed down through all projections.
@@ -159,8 +159,9 @@ def normalize_lines(lines: DataFrame) -> DataFrame:
     records = decode_lines(lines).withColumns(columns["opened"]).drop("raw", "record")
     for step in ("kinds", "texts", "items", "clean", "summary", "tier"):
         records = records.withColumns(columns[step])
+    run = [name for name in ("run_id",) if name in lines.columns]
     return records.select(
-        *LINE_COLUMNS, "outcome", "logged_external_id", *SOURCE_FIELDS, "completeness_score", "issues", "quality_tier"
+        *LINE_COLUMNS, *run, "outcome", "logged_external_id", *SOURCE_FIELDS, "completeness_score", "issues", "quality_tier"
     )
 
 

@@ -44,11 +44,15 @@ def row_checks(table: str) -> dict[str, str]:
 
 
 def broken_rows(table: str, rows: DataFrame) -> DataFrame:
-    """(check_name, row_key): every row check of a table in one scan."""
+    """(check_name, row_key, run_id): every row check of a table in one scan; the run is null where rows name none."""
     failed = F.array_compact(
         F.array(*[F.when(F.expr(broken), name) for name, broken in row_checks(table).items()])
     )
-    return rows.select(F.explode(failed).alias("check_name"), F.col("id").cast("string").alias("row_key"))
+    run = next((F.col(name) for name in ("run_id", "ingestion_run_id") if name in rows.columns), F.lit(None))
+    return rows.select(
+        F.explode(failed).alias("check_name"), F.col("id").cast("string").alias("row_key"),
+        run.cast("bigint").alias("run_id"),
+    )
 
 
 def repeated_keys(table: str, columns: tuple[str, ...], rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -60,7 +64,8 @@ def repeated_keys(table: str, columns: tuple[str, ...], rows: DataFrame, stored:
         repeated = repeated.unionByName(stored.where(present).select(*columns).join(keys, list(columns), "left_semi"))
     row_key = F.concat_ws("/", *[F.col(c).cast("string") for c in columns])
     return repeated.select(
-        F.lit(f"{table}_{'_'.join(columns)}_unique").alias("check_name"), row_key.alias("row_key")
+        F.lit(f"{table}_{'_'.join(columns)}_unique").alias("check_name"), row_key.alias("row_key"),
+        F.lit(None).cast("bigint").alias("run_id"),
     )
 
 
@@ -69,15 +74,16 @@ def dangling_references(child: str, column: str, rows: DataFrame, parents: list[
     used = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("id")).distinct()
     missing = reduce(lambda left, parent: left.join(parent.select("id"), "id", "left_anti"), parents, used)
     return missing.select(
-        F.lit(f"{child}_{column}_references").alias("check_name"), F.col("id").cast("string").alias("row_key")
+        F.lit(f"{child}_{column}_references").alias("check_name"), F.col("id").cast("string").alias("row_key"),
+        F.lit(None).cast("bigint").alias("run_id"),
     )
 
 
 def violations(tables: Tables, stored: Tables | None = None) -> DataFrame:
-    """(check_name, row_key) of all broken constraints in ``tables``.
+    """(check_name, row_key, run_id) of all broken constraints in ``tables``; the run is that of a row that breaks one.
 
     With ``stored``, ``tables`` holds only new rows: they are checked among themselves and against the
-    stored ones, which are not checked again.
+    stored ones, which are not checked again. Of those, the rows that share a key with a new one are enough.
     """
     stored = stored or {}
     found = [broken_rows(name, rows) for name, rows in tables.items() if row_checks(name)]

@@ -1,8 +1,9 @@
-"""The import of line files into the store: one run, all or nothing."""
+"""The import of line files into the store: one run for all lines or one for each file, published by one log entry."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,25 +11,28 @@ from pyspark.sql import functions as F
 
 from docsift.operators.dedup import resolve_duplicates
 from docsift.operators.entities import (
-    ENTITY_TABLES, foreign_keys, known_entities, resolve_entities, tag_links,
+    ENTITY_TABLES, Entities, foreign_keys, mentioned_names, resolve_entities, tag_links,
 )
 from docsift.operators.hot_join import BROADCAST_BYTES, BROADCAST_ROWS, small_enough
 from docsift.operators.normalize import fingerprint_records, normalize_lines, record_keys
 from docsift.operators.numbering import number_rows
 from docsift.operators.quality import violations
+from docsift.operators.stored_keys import key_table, stored_with_keys_of
+from docsift.plans.stats import partial_statistics
 from docsift.session import Workspace
 from docsift.sources.lines import read_lines
-from docsift.sources.store import DocumentStore
+from docsift.sources.store import DocumentStore, Segment
 
-NO_COUNTS = dict.fromkeys(("processed", "inserted", "already_imported", "skipped", "warnings"), 0)
+# Fixed names: the counters of a run.
+COUNTERS = ("processed", "inserted", "already_imported", "skipped", "warnings")
 
 
 class ConstraintViolation(Exception):
-    """New rows break a constraint of the stored tables."""
+    """New rows break a constraint of the stored tables. ``run_id`` is the first run with such a row, if it is known."""
 
-
-class ConcurrentImport(Exception):
-    """Ids and duplicates were settled against a store that has changed since."""
+    def __init__(self, message: str, run_id: int | None) -> None:
+        super().__init__(message)
+        self.run_id = run_id
 
 
 @dataclass(frozen=True)
@@ -42,23 +46,29 @@ class RunSummary:
     warnings: int
 
 
-def count_outcomes(records: DataFrame, decisions: DataFrame) -> dict[str, int]:
-    lines = records.agg(
+@dataclass
+class Loaded:
+    """What an attempt has written: segments that nobody sees yet."""
+
+    segments: dict[str, Segment]
+    totals: dict[str, int]
+
+
+def count_outcomes(records: DataFrame, decisions: DataFrame) -> DataFrame:
+    """run_id and the counters of every run that has lines."""
+    decided = records.select("run_id", "line_order", "outcome", F.size("issues").alias("issues")).join(
+        decisions.select("line_order", "id", "existing_id"), "line_order", "left"
+    )
+    return decided.groupBy("run_id").agg(
         F.count("*").alias("processed"),
+        F.count("id").alias("inserted"),
+        F.count("existing_id").alias("already_imported"),
         F.count_if(F.col("outcome") != "accepted").alias("skipped"),
-        F.coalesce(F.sum(F.size("issues")), F.lit(0)).alias("warnings"),
-    ).first()
-    decided = decisions.agg(F.count("id").alias("inserted"), F.count("existing_id").alias("already_imported")).first()
-    return {
-        "processed": lines.processed,
-        "inserted": decided.inserted,
-        "already_imported": decided.already_imported,
-        "skipped": lines.skipped,
-        "warnings": lines.warnings + decided.already_imported,
-    }
+        (F.sum("issues") + F.count("existing_id")).alias("warnings"),
+    )
 
 
-def issue_rows(records: DataFrame, decisions: DataFrame, run_id: int, last_id: int, workspace: Workspace) -> DataFrame:
+def issue_rows(records: DataFrame, decisions: DataFrame, last_id: int, workspace: Workspace) -> DataFrame:
     """Every issue with its provenance; a duplicate's issue comes after those of its fields."""
     duplicates = decisions.where("existing_id IS NOT NULL").select("line_order", "existing_id", "reason")
     counted = (
@@ -76,15 +86,15 @@ def issue_rows(records: DataFrame, decisions: DataFrame, run_id: int, last_id: i
         F.col("issues")
     )
     return (
-        records.select("line_order", "source_file", "source_line", "logged_external_id", "issues")
+        records.select("run_id", "line_order", "source_file", "source_line", "logged_external_id", "issues")
         .join(numbered, "line_order")
         .select(
-            "issues_before", "source_file", "source_line", F.col("logged_external_id").alias("external_id"),
+            "run_id", "issues_before", "source_file", "source_line", F.col("logged_external_id").alias("external_id"),
             F.posexplode(all_issues).alias("place", "issue"),
         )
         .select(
             (F.col("issues_before") + F.col("place") + 1 + last_id).alias("id"),
-            F.lit(run_id).cast("bigint").alias("ingestion_run_id"),
+            F.col("run_id").alias("ingestion_run_id"),
             "source_file", "source_line", "external_id", "issue.field", "issue.reason",
             F.lit("warning").alias("severity"),
             "issue.value_preview",
@@ -92,29 +102,38 @@ def issue_rows(records: DataFrame, decisions: DataFrame, run_id: int, last_id: i
     )
 
 
-def load_lines(lines: DataFrame, store: DocumentStore, run_id: int, workspace: Workspace, counters: dict) -> None:
-    """Write all tables of one run, then check them. ``counters`` is filled as soon as they are known.
-
-    The lines are read and normalised once, into a written table; from there each step reads just the
-    columns it needs. Everything is decided on narrow rows; the documents' texts are shuffled once, by
-    their place in the import order, when their ids are attached.
-    """
-    records = workspace.write(fingerprint_records(normalize_lines(lines)), "records")
+def settle(records: DataFrame, store: DocumentStore, workspace: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The records' keys, the stored documents that share one, and the decision on each record: written tables."""
     keys = workspace.write(record_keys(records), "keys")
-    stored = store.tables()
-    last_document, last_issue = store.totals()
-    decisions = workspace.write(
-        resolve_duplicates(
-            keys, stored["documents"].select("id", "doi", "content_fingerprint"), last_document, workspace
-        ),
-        "decisions",
-    )
-    counters.update(count_outcomes(records, decisions))
+    stored = stored_with_keys_of(keys, store, workspace)
+    decisions = resolve_duplicates(keys, stored, store.total("documents"), workspace)
+    return keys, stored, workspace.write(decisions, "decisions")
 
-    kept = decisions.where("id IS NOT NULL").select("line_order", "id")
+
+def settle_names(records: DataFrame, kept: DataFrame, store: DocumentStore, workspace: Workspace) -> Entities:
+    """The names that kept records mention, looked up in those files of the stored names that may hold them."""
     named = records.where("outcome = 'accepted'").select("line_order", "author_name", "organization_name", "tags")
-    known = known_entities(stored["authors"], stored["organizations"], stored["tags"])
-    entities = resolve_entities(named.join(kept, "line_order"), known, workspace)
+    mentions, names = mentioned_names(named.join(kept, "line_order"), workspace)
+    known = []
+    for kind, table in ENTITY_TABLES.items():
+        asked = workspace.write(names.where(F.col("kind") == kind).select("name"), f"asked-{table}")
+        found = store.probe(table, asked, workspace)
+        known.append(found.select(F.lit(kind).alias("kind"), "name", F.col("id").alias("entity_id")))
+    last_ids = {kind: store.total(table) for kind, table in ENTITY_TABLES.items()}
+    return resolve_entities(mentions, names, known[0].unionByName(known[1]).unionByName(known[2]), last_ids, workspace)
+
+
+def _load(records: DataFrame, store: DocumentStore, workspace: Workspace, found: Callable[[DataFrame], None]) -> Loaded:
+    """Write all tables of normalised records, then check them. ``found`` is told the counters as soon as they are known.
+
+    The texts are read once more; everything is decided on narrow rows, and the texts are shuffled once, by their place in
+    the import order, when their ids are attached. Of the stored tables only what shares a key with a new row is read.
+    """
+    keys, stored, decisions = settle(records, store, workspace)
+    outcomes = workspace.write(count_outcomes(records, decisions), "outcomes")
+    found(outcomes)
+    kept = decisions.where("id IS NOT NULL").select("line_order", "id")
+    entities = settle_names(records, kept, store, workspace)
     attached = workspace.write(
         kept.join(keys.select("line_order", "content_fingerprint"), "line_order").join(
             foreign_keys(entities.links), "id", "left"
@@ -124,49 +143,169 @@ def load_lines(lines: DataFrame, store: DocumentStore, run_id: int, workspace: W
     # Few kept records find their texts without a shuffle; none of a repeated import's texts are moved at all.
     few = small_enough(attached, BROADCAST_ROWS, BROADCAST_BYTES)
     texts = records.where("outcome = 'accepted'").drop("content_fingerprint")
+    documents = texts.join(F.broadcast(attached) if few else attached, "line_order")
+    runs = records.select("line_order", "run_id").join(kept, "line_order").select("id", "run_id")
+    runs = workspace.write(runs, "runs-of-documents")
     written = {
-        "documents": texts.join(F.broadcast(attached) if few else attached, "line_order"),
-        "document_tags": tag_links(entities.links),
-        "ingestion_issues": issue_rows(records, decisions, run_id, last_issue, workspace),
+        "documents": documents,
+        "document_tags": tag_links(entities.links).join(runs.withColumnRenamed("id", "document_id"), "document_id"),
+        "ingestion_issues": issue_rows(records, decisions, store.total("issues"), workspace),
+        "document_keys": key_table(kept.join(keys, "line_order")),
     }
+    names = entities.new_names.join(runs.withColumnRenamed("id", "first_id"), "first_id")
+    names = workspace.write(names.withColumnRenamed("entity_id", "id"), "names-with-runs")
     for kind, table in ENTITY_TABLES.items():
-        written[table] = entities.new_names.where(F.col("kind") == kind).withColumnRenamed("entity_id", "id")
-    written = {name: store.write(name, rows, run_id) for name, rows in written.items()}
-    # Document ids are new and duplicates settled: only references and names can meet stored rows.
-    broken = violations(written, {name: stored[name] for name in ENTITY_TABLES.values()})
-    first = broken.first()
+        written[table] = names.where(F.col("kind") == kind)
+    segments = store.write_all(written)
+    try:
+        new = {name: store.written(name, segment) for name, segment in segments.items()}
+        _check(new, stored, entities)
+        partial = partial_statistics(new["documents"], entities)
+        segments |= store.write_all({"statistics": partial})
+        counted = outcomes.agg(F.sum("inserted").alias("documents"), F.sum("warnings").alias("issues")).first()
+        of_kind = {row["kind"]: row["count"] for row in names.groupBy("kind").count().collect()}
+        totals = {"documents": counted.documents or 0, "issues": counted.issues or 0}
+        totals |= {table: of_kind.get(kind, 0) for kind, table in ENTITY_TABLES.items()}
+    except Exception:
+        store.discard(segments)
+        raise
+    return Loaded(segments, totals)
+
+
+def _check(new: dict[str, DataFrame], stored: DataFrame, entities: Entities) -> None:
+    """Constraints of the new rows among themselves and against the stored rows that share a key or name with them."""
+    known = {
+        table: entities.known_names.where(F.col("kind") == kind).withColumnRenamed("entity_id", "id")
+        for kind, table in ENTITY_TABLES.items()
+    }
+    checked = {name: rows for name, rows in new.items() if name != "document_keys"}
+    broken = violations(checked, {**known, "documents": stored})
+    first = broken.orderBy(F.asc_nulls_first("run_id"), "check_name").first()
     if first is not None:
-        raise ConstraintViolation(f"{first.check_name}: {first.row_key}")
+        raise ConstraintViolation(f"{first.check_name}: {first.row_key}", first.run_id)
 
 
-def intake_lines(
-    lines: DataFrame, store: DocumentStore, source: str | None = None, batch_key: str | None = None
-) -> RunSummary:
-    """Import a frame of source_file, source_line, line_order and raw as one run."""
-    return _run(lambda workspace: lines, store, source, batch_key)
+class Import:
+    """An import at work: the runs it has claimed, and what is known of them."""
 
+    def __init__(self, store: DocumentStore, workspace: Workspace, started_at: datetime, batch_key: str | None) -> None:
+        self.store, self.workspace, self.started_at, self.batch_key = store, workspace, started_at, batch_key
+        self.base = store.snapshot()
+        self.failed: list[DataFrame] = []
+        self.outcomes: DataFrame | None = None
 
-def intake(spark: SparkSession, path: str, store: DocumentStore, folder: bool = False) -> RunSummary:
-    """Import one line file, or with ``folder=True`` all line files of a folder, as one run."""
-    return _run(lambda workspace: read_lines(spark, path, workspace, folder), store, path)
+    def run_rows(self, outcomes: DataFrame, status: str, reason: str | None = None) -> DataFrame:
+        """Rows of ``ingestion_runs`` from run_id, source and counters."""
+        return outcomes.select(
+            F.col("run_id").alias("id"), F.lit(status).alias("status"), F.lit(self.started_at).alias("started_at"),
+            F.lit(datetime.now(UTC)).alias("ended_at"), "processed",
+            (F.col("inserted") if status == "completed" else F.lit(0).cast("bigint")).alias("inserted"),
+            "already_imported", "skipped", "warnings", F.lit(reason).alias("failure_reason"), "source",
+            F.lit(self.batch_key).alias("batch_key"),
+        )
+
+    def load(self, records: DataFrame, sources: DataFrame, alone: bool) -> Loaded:
+        """Load the records; with ``alone``, a run whose rows break a constraint fails and the others are settled without it.
+
+        As every run is settled after those before it, only the first one that breaks something is known to do so.
+        """
+
+        def found(outcomes: DataFrame) -> None:
+            counted = sources.join(outcomes, "run_id", "left")
+            self.outcomes = counted.na.fill(0, list(COUNTERS))
+
+        while True:
+            try:
+                return _load(records, self.base, self.workspace, found)
+            except ConstraintViolation as error:
+                if error.run_id is None or not alone:
+                    raise
+                broken = F.col("run_id") == error.run_id
+                row = self.run_rows(self.outcomes.where(broken), "failed", type(error).__name__)
+                self.failed.append(self.workspace.write(row, "failed-run"))
+                sources, records = sources.where(~broken), records.where(~broken)
+
+    def publish(self, loaded: Loaded, last_run: int) -> DataFrame:
+        """One log entry for all runs; returns their rows."""
+        rows = self.run_rows(self.outcomes, "completed")
+        for failed in self.failed:
+            rows = rows.unionByName(failed)
+        runs = self.store.write("ingestion_runs", rows)
+        self.store.commit(
+            loaded.segments | {"ingestion_runs": runs}, loaded.totals, last_run, self.base.state(), self.batch_key
+        )
+        return self.store.written("ingestion_runs", runs)
+
+    def record_failure(self, first_run: int, last_run: int, source: str | None, error: Exception) -> None:
+        """One row for an import that failed as a whole, with the counters known so far; nothing else gets visible."""
+        known = {name: 0 for name in COUNTERS}
+        if self.outcomes is not None:
+            known |= self.outcomes.agg(*[F.sum(name).alias(name) for name in COUNTERS]).first().asDict()
+        schema = "run_id bigint, source string, " + ", ".join(f"{name} bigint" for name in COUNTERS)
+        counted = self.store.spark.createDataFrame([(first_run, source, *known.values())], schema)
+        row = self.run_rows(counted, "failed", type(error).__name__)
+        self.store.commit({"ingestion_runs": self.store.write("ingestion_runs", row)}, {}, last_run, None)
 
 
-def _run(open_lines, store: DocumentStore, source: str | None, batch_key: str | None = None) -> RunSummary:
+def _run(open_lines: Callable[[Workspace], DataFrame], store: DocumentStore, source: str | None, per_file: bool = False,
+         batch_key: str | None = None) -> DataFrame:
+    """Import lines as one run, or as one for each file that has lines; returns the rows of ``ingestion_runs``.
+
+    The number of jobs does not depend on the number of files, but for files that break a constraint.
+    """
     started_at = datetime.now(UTC)
-    counters = dict(NO_COUNTS)
     with Workspace(store.spark) as workspace:
         # A refused path is the caller's mistake, not a failed run.
         lines = open_lines(workspace)
-        run_id, before = store.claim_run(), store.completed_runs()
+        sources = store.spark.createDataFrame([(0, source)], "file_number bigint, source string")
+        if per_file:
+            files = workspace.write(lines.select("file_number", F.col("source_file").alias("source")).distinct(), "files")
+            sources = sources if files.isEmpty() else files
+        many = sources.count()
+        first_run = store.claim_runs(many)
+        work = Import(store, workspace, started_at, batch_key)
         try:
-            load_lines(lines, store, run_id, workspace, counters)
-            if store.completed_runs() != before:
-                raise ConcurrentImport(f"another run was published while run {run_id} was at work")
-            store.finish_run(run_id, "completed", started_at, counters, source=source, batch_key=batch_key)
+            number = F.col("file_number") if per_file else F.lit(0)
+            records = fingerprint_records(normalize_lines(lines.withColumn("run_id", (first_run + number).cast("bigint"))))
+            records = workspace.write(records, "records")
+            sources = workspace.write(sources.select((first_run + F.col("file_number")).alias("run_id"), "source"), "sources")
+            loaded = work.load(records, sources, alone=per_file)
+            try:
+                rows = work.publish(loaded, first_run + many - 1)
+            except Exception:
+                store.discard(loaded.segments)
+                raise
         except Exception as error:
-            store.finish_run(
-                run_id, "failed", started_at, {**counters, "inserted": 0}, type(error).__name__, source, batch_key
-            )
-            store.discard_run(run_id)
+            work.record_failure(first_run, first_run + many - 1, source, error)
             raise RuntimeError("ingestion failed") from error
-    return RunSummary(run_id, "completed", **counters)
+    store.compact()
+    return rows
+
+
+def _summary(rows: DataFrame) -> RunSummary:
+    row = rows.withColumnRenamed("id", "run_id").first()
+    return RunSummary(**{field.name: row[field.name] for field in fields(RunSummary)})
+
+
+def intake_lines(
+    lines: DataFrame, store: DocumentStore, source: str | None = None, batch_key: str | None = None
+) -> RunSummary:
+    """Import a frame of source_file, source_line, line_order and raw as one run."""
+    return _summary(_run(lambda workspace: lines, store, source, batch_key=batch_key))
+
+
+def intake(spark: SparkSession, path: str, store: DocumentStore, folder: bool = False) -> RunSummary:
+    """Import one line file, or with ``folder=True`` all line files of a folder, as one run."""
+    return _summary(_run(lambda workspace: read_lines(spark, path, workspace, folder), store, path))
+
+
+def intake_files(
+    open_lines: Callable[[Workspace], DataFrame], store: DocumentStore, batch_key: str | None = None
+) -> DataFrame:
+    """Import each file as a run of its own, all in one pass; returns their rows of ``ingestion_runs``.
+
+    ``open_lines`` gives source_file, source_line, line_order, file_number (from 0, in the order of lines) and raw. The
+    result equals that of importing one file after the other: records of earlier files come first, and a file
+    that breaks a constraint fails alone. A file without lines has no run; without any lines there is one empty run.
+    """
+    return _run(open_lines, store, None, per_file=True, batch_key=batch_key)

@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.operators.entities import ENTITY_TABLES, Entities
 from docsift.sources.store import DocumentStore
 
 TIERS = ("low", "medium", "high")
+COUNTED = ("documents", "authors", "organizations", "tags")
 
 
-def entity_counts(store: DocumentStore) -> DataFrame:
-    """(metric, value): how many authors, organizations and tags there are."""
-    counts = [
-        store.table(name).agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
-        for name in ("authors", "organizations", "tags")
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
-
-
-def document_measures(store: DocumentStore) -> DataFrame:
+def document_measures(documents: DataFrame) -> DataFrame:
     """(metric, key, entity_id, value): all sums over documents from a single scan.
 
     Each document's few measures are summed on the map side, so no group is ever brought together.
     """
-    documents = store.table("documents").select("status", "quality_tier", "organization_id", "completeness_score")
+    documents = documents.select("status", "quality_tier", "organization_id", "completeness_score")
     combined = documents.groupBy("status", "quality_tier", "organization_id").agg(
         F.count("*").alias("documents"), F.sum("completeness_score").alias("score")
     )
@@ -52,49 +45,51 @@ def document_measures(store: DocumentStore) -> DataFrame:
     )
 
 
-def named_counts(store: DocumentStore, counts: DataFrame, table: str) -> DataFrame:
-    """(key, value) from (entity_id, value): counted by id first, so the join is one row per name."""
-    names = store.table(table).select(F.col("id").alias("entity_id"), F.col("name").alias("key"))
-    return counts.join(names, "entity_id").select("key", "value")
+def partial_statistics(documents: DataFrame, entities: Entities) -> DataFrame:
+    """(metric, key, value): the sums of an import, from its documents and the names they mention.
+
+    The sums of all imports add up to those of the store. Counted by id first, so a join is one row per name.
+    """
+    measures = document_measures(documents)
 
+    def named(counts: DataFrame, kind: str, metric: str) -> DataFrame:
+        names = entities.names.where(F.col("kind") == kind).select("entity_id", F.col("name").alias("key"))
+        return counts.join(names, "entity_id").select(F.lit(metric).alias("metric"), "key", "value")
 
-def tag_counts(store: DocumentStore) -> DataFrame:
-    counted = store.table("document_tags").groupBy(F.col("tag_id").alias("entity_id")).agg(F.count("*").alias("value"))
-    return named_counts(store, counted, "tags")
+    links = entities.links.where("kind = 'tag'").groupBy("entity_id").agg(F.count("*").alias("value"))
+    kinds = entities.new_names.groupBy("kind").agg(F.count("*").alias("value"))
+    tables = F.create_map(*[F.lit(x) for pair in ENTITY_TABLES.items() for x in pair])
+    organizations = measures.where("metric = 'organizations_by_document'").select("entity_id", "value")
+    return (
+        measures.where("entity_id IS NULL").select("metric", "key", "value")
+        .unionByName(named(organizations, "organization", "organizations_by_document"))
+        .unionByName(named(links, "tag", "tags_by_document"))
+        .unionByName(kinds.select(tables[F.col("kind")].alias("metric"), F.lit(None).cast("string").alias("key"), "value"))
+    )
 
 
 def statistics(store: DocumentStore) -> DataFrame:
     """(metric, key, value): all statistics in long form; every tier is there, also with no documents.
 
-    The average score has no row value when there are no documents.
+    Sums that each import has left are added up; no document, link or name is read. The average score has no row value
+    when there are no documents.
     """
-    spark, store = store.spark, store.snapshot()
-    measures = document_measures(store)
-
-    def report(metric: str, frame: DataFrame) -> DataFrame:
-        return frame.select(F.lit(metric).alias("metric"), "key", F.col("value").cast("double").alias("value"))
-
-    zeros = spark.createDataFrame(
-        [("documents", None), *(("quality_tiers", tier) for tier in TIERS)], "metric string, key string"
+    zeros = store.spark.createDataFrame(
+        [*((metric, None) for metric in COUNTED), *(("quality_tiers", tier) for tier in TIERS)],
+        "metric string, key string",
     ).withColumn("value", F.lit(0).cast("bigint"))
-    plain = measures.where("metric IN ('documents', 'quality_tiers', 'statuses')").select("metric", "key", "value")
-    counted = plain.unionByName(zeros).groupBy("metric", "key").agg(F.sum("value").cast("double").alias("value"))
-    average = measures.where("metric IN ('documents', 'score')").agg(
+    sums = store.table("statistics").unionByName(zeros).groupBy("metric", "key").agg(F.sum("value").alias("value"))
+    average = sums.where("metric IN ('documents', 'score')").agg(
         (
             F.sum(F.when(F.col("metric") == "score", F.col("value"))).cast("double")
-            / F.sum(F.when(F.col("metric") == "documents", F.col("value")))
+            / F.nullif(F.sum(F.when(F.col("metric") == "documents", F.col("value"))), F.lit(0))
         ).alias("value"),
-    ).withColumn("key", F.lit(None).cast("string"))
-    organizations = measures.where("metric = 'organizations_by_document'").select("entity_id", "value")
-    return (
-        counted.unionByName(report("average_completeness_score", average))
-        .unionByName(
-            entity_counts(store).select(
-                "metric", F.lit(None).cast("string").alias("key"), F.col("value").cast("double").alias("value")
-            )
-        )
-        .unionByName(report("organizations_by_document", named_counts(store, organizations, "organizations")))
-        .unionByName(report("tags_by_document", tag_counts(store)))
+    )
+    average = average.select(
+        F.lit("average_completeness_score").alias("metric"), F.lit(None).cast("string").alias("key"), "value"
+    )
+    return sums.where("metric <> 'score'").select("metric", "key", F.col("value").cast("double").alias("value")).unionByName(
+        average
     )
 
 
@@ -111,7 +106,7 @@ def statistics_row(store: DocumentStore) -> DataFrame:
         return F.map_from_entries(F.collect_list(entry)).alias(metric)
 
     return rows.agg(
-        *[single(name, "bigint") for name in ("documents", "authors", "organizations", "tags")],
+        *[single(name, "bigint") for name in COUNTED],
         single("average_completeness_score", "double"),
         *[mapped(name) for name in
           ("quality_tiers", "statuses", "organizations_by_document", "tags_by_document")],

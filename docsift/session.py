@@ -11,10 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# So many keys of a look-up are handed to the scan, which asks the files' statistics and Bloom filters for them.
+IN_LIST = 200
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the run-time options the column expressions rely on."""
     # A repeated key keeps its last value instead of making the whole line invalid.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(IN_LIST))
     return spark
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.operators.hot_join import BROADCAST_BYTES, BROADCAST_ROWS, small_enough
+from docsift.operators.numbering import number_rows
 from docsift.session import Workspace
 
 SUFFIXES = (".jsonl", ".ndjson")
@@ -59,34 +60,34 @@ def read_text(reader, path: str) -> DataFrame:
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("source_file"),
+        F.col("_metadata.file_modification_time").alias("landed_at"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
 
 
-def number_lines(text: DataFrame, workspace: Workspace) -> DataFrame:
-    """source_file, source_line (from 1), line_order (over all files, by name), raw.
+BY_NAME = ("source_file", "file_path")
+BY_LANDING = ("landed_at", "source_file", "file_path")
+
+
+def number_lines(text: DataFrame, workspace: Workspace, order: tuple[str, ...] = BY_NAME) -> DataFrame:
+    """source_file, source_line (from 1), line_order (over all files in the given order), file_number (from 0), raw.
 
     Rows of one block of a file are consecutive in their task, so a line's number is its place in its
     block plus the lines of the blocks before. The lines are scanned once, into a written table that fixes
     which line is where, however the input might be split at another scan; everything else reads that table.
     One narrow pass over it counts lines per block; the counts are broadcast, or with very many blocks joined
-    by block, which is even because blocks are.
+    by block, which is even because blocks are. Files are numbered over ranges of their order.
     """
     placed = workspace.write(text.withColumn("row_id", F.monotonically_increasing_id()), "lines")
-    block = ["file_path", "source_file", "block_start"]
-    counted = placed.groupBy(*block).agg(F.count("*").alias("lines"), F.min("row_id").alias("first_row"))
+    counted = placed.groupBy(*BY_LANDING, "block_start").agg(F.count("*").alias("lines"), F.min("row_id").alias("first_row"))
     counted = workspace.write(counted, "blocks")
     in_file = Window.partitionBy("file_path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    per_file = counted.groupBy("source_file", "file_path").agg(F.sum("lines").alias("file_lines"))
-    # One row per file: the window below runs over file names, not over lines.
-    over_files = Window.orderBy("source_file", "file_path").rowsBetween(Window.unboundedPreceding, -1)
-    file_offsets = per_file.select(
-        "file_path", F.coalesce(F.sum("file_lines").over(over_files), F.lit(0)).alias("lines_before_file")
-    )
+    per_file = counted.groupBy(*BY_LANDING).agg(F.sum("lines").alias("file_lines"))
+    files = number_rows(per_file, list(order), "lines_before_file", workspace, weight="file_lines", number="file_number")
     offsets = workspace.write(
         counted.withColumn("lines_before_block", F.coalesce(F.sum("lines").over(in_file), F.lit(0)))
-        .join(file_offsets, "file_path")
-        .select("file_path", "block_start", "first_row", "lines_before_block", "lines_before_file"),
+        .join(files.select("file_path", "lines_before_file", "file_number"), "file_path")
+        .select("file_path", "block_start", "first_row", "lines_before_block", "lines_before_file", "file_number"),
         "block-offsets",
     )
     if small_enough(offsets, BROADCAST_ROWS, BROADCAST_BYTES):
@@ -96,6 +97,7 @@ def number_lines(text: DataFrame, workspace: Workspace) -> DataFrame:
         "source_file",
         (line + 1).alias("source_line"),
         (F.col("lines_before_file") + line).alias("line_order"),
+        "file_number",
         F.rtrim(F.col("value"), F.lit("\r\n")).alias("raw"),
     )
 

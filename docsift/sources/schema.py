@@ -7,10 +7,10 @@ DOCUMENTS = (
     "published_at date, updated_at date, status string, document_type string, language string, region string, "
     "source_name string, url string, doi string, open_access boolean, peer_reviewed boolean, "
     "citation_count bigint, page_count bigint, word_count bigint, author_id bigint, organization_id bigint, "
-    "completeness_score int, quality_tier string"
+    "completeness_score int, quality_tier string, run_id bigint"
 )
-NAMES = "id bigint, name string"
-DOCUMENT_TAGS = "document_id bigint, tag_id bigint, position int"
+NAMES = "id bigint, name string, run_id bigint"
+DOCUMENT_TAGS = "document_id bigint, tag_id bigint, position int, run_id bigint"
 RUNS = (
     "id bigint, status string, started_at timestamp, ended_at timestamp, processed bigint, inserted bigint, "
     "already_imported bigint, skipped bigint, warnings bigint, failure_reason string, source string, batch_key string"
@@ -19,6 +19,10 @@ ISSUES = (
     "id bigint, ingestion_run_id bigint, source_file string, source_line bigint, external_id string, "
     "field string, reason string, severity string, value_preview string"
 )
+# A document's DOI and fingerprint, one row each, with the other one; the first letter tells which is which.
+DOCUMENT_KEYS = "key string, other_key string, id bigint"
+# Sums over the documents of an import, to be added up.
+STATISTICS = "metric string, key string, value bigint"
 TABLES = {
     "documents": DOCUMENTS,
     "authors": NAMES,
@@ -26,7 +30,22 @@ TABLES = {
     "tags": NAMES,
     "document_tags": DOCUMENT_TAGS,
     "ingestion_issues": ISSUES,
+    "document_keys": DOCUMENT_KEYS,
+    "statistics": STATISTICS,
+    "ingestion_runs": RUNS,
 }
+# Tables that are looked up by a key: dealt by a prefix of its hash, and sorted by it.
+DEALT = {"document_keys": "key", "authors": "name", "organizations": "name", "tags": "name"}
+# What merged files are ordered by.
+ORDER = {
+    "documents": ("id",), "document_tags": ("document_id", "position"), "ingestion_issues": ("id",),
+    "ingestion_runs": ("id",),
+}
+
+
+def columns(table: str) -> dict[str, str]:
+    """The names and types of a table's columns, in order."""
+    return dict(field.split() for field in TABLES[table].split(", "))
 # Longest text each bounded column may hold, per table.
 MAX_LENGTHS = {
     "documents": {

@@ -1,132 +1,243 @@
-"""The document store: Parquet tables in one folder, visible run by run.
+"""The document store: Parquet tables in one folder, visible by the entries of a commit log.
 
-Each import writes its rows under ``<table>/run_id=N`` and becomes visible by one row in ``ingestion_runs``
-with status completed. Rows of a run without such a row are never read. Nothing is updated in place. One
-import may write to a store at a time.
+An import writes its rows as segments, a folder for each table, and publishes them all by one log entry. An entry is
+created only if there is none of its number, and lists every visible segment, so reading the last one is all it takes
+to see the store as of one moment. Ids and duplicates are settled against an entry; if data were published since, the
+import fails. Nothing is updated in place: small segments are merged into new ones, and an entry swaps them in, while
+those who hold an older entry go on reading the old ones.
+
+Names and document keys are dealt by a prefix of their hash, so that a look-up reads the files of the asked prefixes
+only.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import math
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.session import delete_folder, prepare
+from docsift.operators.hot_join import join_lookup
+from docsift.session import IN_LIST, Workspace, delete_folder, prepare
 from docsift.sources import schema
+from docsift.sources.log import CommitLog
+
+Segment = dict  # path, bytes, bits, prefixes
+EMPTY = {"data_version": 0, "segments": {}, "totals": {}, "batches": {}}
+# A prefix of a dealt segment holds about so many rows, and a segment has at most 2^MAX_BITS prefixes.
+PREFIX_ROWS = 1_000_000
+MAX_BITS = 12
+# So many segments of about one size are merged into one. Sizes are told apart by powers of it, from this size on.
+MERGED_SEGMENTS = 16
+LEAST_BYTES = 8 * 1024 * 1024
+
+
+class ConcurrentImport(Exception):
+    """Ids and duplicates were settled against a store that has changed since."""
+
+
+def key_prefix(key: Column, bits: int) -> Column:
+    """The first bits of a key's hash."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int") if bits else F.lit(0)
 
 
 class DocumentStore:
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    """``prefix_rows`` and ``merged_segments`` change how the tables are laid out, not what is in them."""
+
+    def __init__(self, spark: SparkSession, path: str, prefix_rows: int = PREFIX_ROWS,
+                 merged_segments: int = MERGED_SEGMENTS) -> None:
         self.spark = prepare(spark)
         self.path = path.rstrip("/")
-        self._fixed_runs: list[int] | None = None
+        self.log = CommitLog(spark, f"{self.path}/log")
+        self.prefix_rows, self.merged_segments = prefix_rows, merged_segments
+        self._fixed: dict | None = None
+
+    def state(self) -> dict:
+        return self._fixed if self._fixed is not None else self.log.last()[1] or EMPTY
 
     def snapshot(self) -> DocumentStore:
-        """The store as of now: every table read from it shows the same runs, listed once."""
-        if self._fixed_runs is not None:
+        """The store as of now: whatever is read from it belongs to the same log entry."""
+        if self._fixed is not None:
             return self
-        fixed = DocumentStore(self.spark, self.path)
-        fixed._fixed_runs = self.completed_runs()
+        fixed = DocumentStore(self.spark, self.path, self.prefix_rows, self.merged_segments)
+        fixed._fixed = self.state()
         return fixed
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+    def total(self, name: str) -> int:
+        """How many rows of a kind are stored; as ids are dense, this is also the last id."""
+        return self.state()["totals"].get(name, 0)
 
-    def runs(self) -> DataFrame:
-        """All finished runs, completed or failed: one row each."""
-        reader = self.spark.read.schema(schema.RUNS)
-        if not self._exists(f"{self.path}/ingestion_runs"):
-            return self.spark.createDataFrame([], schema.RUNS)
-        return reader.option("recursiveFileLookup", "true").parquet(f"{self.path}/ingestion_runs")
-
-    def completed_runs(self) -> list[int]:
-        """Ids of the visible runs. This list is the store's manifest: one number per import, needed to plan a read."""
-        if self._fixed_runs is not None:
-            return self._fixed_runs
-        return [row.id for row in self.runs().where("status = 'completed'").select("id").orderBy("id").collect()]
-
-    def table(self, name: str, runs: list[int] | None = None) -> DataFrame:
-        """A stored table as of now, or as of the given list of runs."""
-        if name == "ingestion_runs":
-            return self.runs()
-        visible = self.completed_runs() if runs is None else runs
-        paths = [self._run_path(name, run_id) for run_id in visible]
+    def has_batch(self, batch_key: str) -> bool:
+        """Whether a stream's batch ``<stream>#<number>`` was published."""
+        stream, _, number = batch_key.rpartition("#")
+        return self.state()["batches"].get(stream, -1) >= int(number)
+
+    # Reading
+
+    def segments(self, name: str) -> list[Segment]:
+        return self.state()["segments"].get(name, [])
+
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], schema.TABLES[name])
-        return self.spark.read.schema(schema.TABLES[name]).parquet(*paths)
+        # Folders of prefixes are no partitions: their names say nothing that the rows do not.
+        reader = self.spark.read.schema(schema.TABLES[name]).option("recursiveFileLookup", "true")
+        return reader.parquet(*[f"{self.path}/{path}" for path in paths])
+
+    def table(self, name: str) -> DataFrame:
+        return self._read(name, [segment["path"] for segment in self.segments(name)])
+
+    def runs(self) -> DataFrame:
+        """All finished runs, completed or failed: one row each."""
+        return self.table("ingestion_runs")
 
     def tables(self) -> dict[str, DataFrame]:
         """All tables as of the same moment."""
-        runs = self.completed_runs()
-        return {name: self.table(name, runs) for name in (*schema.TABLES, "ingestion_runs")}
-
-    def _run_path(self, name: str, run_id: int) -> str:
-        return f"{self.path}/{name}/run_id={run_id}"
-
-    def run_table(self, name: str, run_id: int) -> DataFrame:
-        """The rows one run wrote, visible or not."""
-        return self.spark.read.schema(schema.TABLES[name]).parquet(self._run_path(name, run_id))
-
-    def write(self, name: str, rows: DataFrame, run_id: int) -> DataFrame:
-        """Write a run's rows of a table; replaces what an attempt that never finished may have left."""
-        columns = [field.split()[0] for field in schema.TABLES[name].split(", ")]
-        writer = rows.select(*columns).write.mode("overwrite")
-        if name == "documents":
-            # Lets a look-up by id skip the files that cannot hold it.
-            writer = writer.option("parquet.bloom.filter.enabled#id", "true")
-        writer.parquet(self._run_path(name, run_id))
-        return self.run_table(name, run_id)
-
-    def discard_run(self, run_id: int) -> None:
-        """Delete the rows of a run that failed; nobody can see them, and its id is not used again."""
-        for name in schema.TABLES:
-            delete_folder(self.spark, self._run_path(name, run_id))
-
-    def next_run_id(self) -> int:
-        last = self.runs().agg(F.max("id").alias("last")).first().last
-        return (last or 0) + 1
-
-    def claim_run(self) -> int:
-        """An id for a new run that no other import can take: its marker is created exclusively."""
-        run_id = self.next_run_id()
-        while not self._create_new(f"{self.path}/run_claims/run-{run_id:012d}"):
-            run_id += 1
-        return run_id
-
-    def _create_new(self, path: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(target)
-
-    def totals(self) -> tuple[int, int]:
-        """Stored documents and issues. As ids are dense, these are also the last ids."""
-        row = (
-            self.runs()
-            .where("status = 'completed'")
-            .agg(F.sum("inserted").alias("documents"), F.sum("warnings").alias("issues"))
-            .first()
-        )
-        return row.documents or 0, row.issues or 0
-
-    def has_batch(self, batch_key: str) -> bool:
-        return not self.runs().where((F.col("batch_key") == batch_key) & (F.col("status") == "completed")).isEmpty()
-
-    def finish_run(
-        self,
-        run_id: int,
-        status: str,
-        started_at: datetime,
-        counters: dict[str, int],
-        failure_reason: str | None = None,
-        source: str | None = None,
-        batch_key: str | None = None,
-    ) -> None:
-        """Publish a run, or record its failure: a single row in a single file."""
-        values = (
-            run_id, status, started_at, datetime.now(started_at.tzinfo),
-            *(counters[name] for name in ("processed", "inserted", "already_imported", "skipped", "warnings")),
-            failure_reason, source, batch_key,
-        )
-        row = self.spark.createDataFrame([values], schema.RUNS)
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/ingestion_runs/run-{run_id:012d}")
+        fixed = self.snapshot()
+        return {name: fixed.table(name) for name in schema.TABLES}
+
+    def probe(self, name: str, asked: DataFrame, workspace: Workspace) -> DataFrame:
+        """The rows of a dealt table whose key is among ``asked``: a written table of distinct keys in one column.
+
+        Only files of prefixes that are asked for are read, and few keys are looked up in the files' Bloom filters. What
+        is collected are prefixes, at most 2^MAX_BITS, and at most IN_LIST keys.
+        """
+        key, segments = schema.DEALT[name], self.segments(name)
+        if not segments:
+            return self._read(name, [])
+        asked = asked.toDF(key)
+        touched = {0: {0}}
+        for bits in sorted({segment["bits"] for segment in segments} - {0}):
+            prefixes = asked.select(key_prefix(F.col(key), bits).alias("prefix")).distinct().collect()
+            touched[bits] = {row.prefix for row in prefixes}
+        paths = [
+            f"{segment['path']}/prefix={prefix}"
+            for segment in segments for prefix in segment["prefixes"] if prefix in touched[segment["bits"]]
+        ]
+        rows = self._read(name, paths)
+        few = [row[0] for row in asked.limit(IN_LIST + 1).collect()]
+        if len(few) <= IN_LIST:
+            return rows.where(F.col(key).isin(few))
+        return join_lookup(rows, asked, [key], "left_semi", workspace)
+
+    # Writing
+
+    def _folder(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def write(self, name: str, rows: DataFrame) -> Segment:
+        """Write rows of a table as a segment that nobody sees yet. Rows of a dealt table are counted first."""
+        path = f"{name}/{uuid.uuid4().hex}"
+        rows = rows.select(*[F.col(column).cast(kind).alias(column) for column, kind in schema.columns(name).items()])
+        bits, prefixes = 0, [0]
+        if name in schema.DEALT:
+            key = schema.DEALT[name]
+            bits = min(max(math.ceil(math.log2(max(rows.count(), 1) / self.prefix_rows)), 0), MAX_BITS)
+            dealt = rows.withColumn("prefix", key_prefix(F.col(key), bits))
+            dealt = dealt.repartition("prefix") if bits else dealt.coalesce(1)
+            writer = dealt.sortWithinPartitions("prefix", key).write.partitionBy("prefix")
+            writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/{path}")
+        else:
+            writer = rows.write
+            if name == "documents":
+                # Lets a look-up by id skip the files that cannot hold it.
+                writer = writer.option("parquet.bloom.filter.enabled#id", "true")
+            writer.parquet(f"{self.path}/{path}")
+        files, target = self._folder(path)
+        if name in schema.DEALT:
+            names = [status.getPath().getName() for status in files.listStatus(target)]
+            prefixes = sorted(int(n.removeprefix("prefix=")) for n in names if n.startswith("prefix="))
+        return {"path": path, "bytes": files.getContentSummary(target).getLength(), "bits": bits, "prefixes": prefixes}
+
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, Segment]:
+        """Write a segment of each table, side by side."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            segments = {name: pool.submit(self.write, name, rows) for name, rows in tables.items()}
+            return {name: segment.result() for name, segment in segments.items()}
+
+    def written(self, name: str, segment: Segment) -> DataFrame:
+        """The rows of a segment, visible or not."""
+        return self._read(name, [segment["path"]])
+
+    def discard(self, segments: dict[str, Segment]) -> None:
+        """Delete segments that nobody can see."""
+        for segment in segments.values():
+            delete_folder(self.spark, f"{self.path}/{segment['path']}")
+
+    def claim_runs(self, many: int = 1) -> int:
+        """The first of ``many`` run ids that no other import can take."""
+        return self.log.claim("claims", self.total("last_run") + 1, many)
+
+    def commit(self, added: dict[str, Segment], totals: dict[str, int], last_run: int, settled_against: dict | None,
+               batch_key: str | None = None) -> None:
+        """Publish segments. ``totals`` are added up.
+
+        ``settled_against`` is the state that new data were settled against: with data published since, it is refused.
+        Without it the segments depend on nothing, as a failed run's row.
+        """
+        while True:
+            number, last = self.log.last()
+            last = last or EMPTY
+            if settled_against is not None and last["data_version"] != settled_against["data_version"]:
+                raise ConcurrentImport("another import was published meanwhile")
+            stream, _, batch = (batch_key or "").rpartition("#")
+            names = {*last["segments"], *added}
+            entry = {
+                "data_version": last["data_version"] + (settled_against is not None),
+                "segments": {
+                    name: last["segments"].get(name, []) + ([added[name]] if name in added else []) for name in names
+                },
+                "totals": {name: last["totals"].get(name, 0) + totals.get(name, 0) for name in {*last["totals"], *totals}}
+                | {"last_run": max(last_run, last["totals"].get("last_run", 0))},
+                "batches": last["batches"] | ({stream: int(batch)} if batch_key else {}),
+            }
+            if self.log.append(number + 1, entry):
+                return
+
+    # Merging
+
+    def _level(self, segment: Segment) -> int:
+        return max(math.ceil(math.log(max(segment["bytes"], 1) / LEAST_BYTES, max(self.merged_segments, 2))), 0)
+
+    def _merge(self, name: str, segments: list[Segment]) -> Segment:
+        rows = self._read(name, [segment["path"] for segment in segments])
+        if name == "statistics":
+            rows = rows.groupBy("metric", "key").agg(F.sum("value").alias("value"))
+        elif name in schema.ORDER:
+            # Ranges of ids in each file, so that the files' statistics tell where an id is.
+            rows = rows.repartitionByRange(*schema.ORDER[name]).sortWithinPartitions(*schema.ORDER[name])
+        return self.write(name, rows)
+
+    def compact(self) -> int:
+        """Merge segments wherever enough of about one size have come together; returns how many were replaced.
+
+        Each row is rewritten once for every power of ``merged_segments`` that its table grows by, and the number of
+        visible segments grows with the logarithm of the table. The old folders stay, for those who read them.
+        """
+        replaced = 0
+        for name, segments in self.snapshot().state()["segments"].items():
+            levels: dict[int, list[Segment]] = {}
+            for segment in segments:
+                levels.setdefault(self._level(segment), []).append(segment)
+            for alike in levels.values():
+                if len(alike) >= self.merged_segments:
+                    merged = self._merge(name, alike)
+                    if self._swap(name, alike, merged):
+                        replaced += len(alike)
+                    else:
+                        self.discard({name: merged})
+        return replaced
+
+    def _swap(self, name: str, old: list[Segment], merged: Segment) -> bool:
+        """Replace segments by their merger, unless another compaction has replaced them."""
+        paths = {segment["path"] for segment in old}
+        while True:
+            number, last = self.log.last()
+            kept = [segment for segment in last["segments"][name] if segment["path"] not in paths]
+            if len(kept) + len(old) != len(last["segments"][name]):
+                return False
+            if self.log.append(number + 1, last | {"segments": last["segments"] | {name: [merged, *kept]}}):
+                return True

@@ -1,4 +1,4 @@
-"""Files that land in a folder, imported one run per file as a stream."""
+"""Files that land in a folder, imported as a stream, a run for each file."""
 
 from __future__ import annotations
 
@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from docsift.plans.intake import intake_lines
-from docsift.session import Workspace, delete_folder, shared_folder
-from docsift.sources.lines import SUFFIXES, number_lines, read_text
+from docsift.plans.intake import intake_files
+from docsift.session import delete_folder, shared_folder
+from docsift.sources.lines import BY_LANDING, SUFFIXES, number_lines, read_text
 from docsift.sources.store import DocumentStore
 
 ANY_AGE = "1000000d"
+FILES_PER_BATCH = 1_000
 
 
 def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
@@ -44,22 +45,21 @@ def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
 
 
 def import_landing_folder(
-    spark: SparkSession, folder: str, store: DocumentStore, checkpoint: str, files_per_run: int = 1
+    spark: SparkSession, folder: str, store: DocumentStore, checkpoint: str, files_per_batch: int = FILES_PER_BATCH
 ) -> StreamingQuery:
     """Import all files that have landed and not been imported yet, then stop.
 
-    Known documents live in the store, not in streaming state, so the state does not grow. A batch that is
-    repeated after a failure finds its run published and does nothing.
+    Each file is a run of its own, in the order of landing; the files of a batch are numbered, settled and counted
+    together, and published by one entry of the store's log. Known documents live in the store, not in streaming state,
+    so the state does not grow. A batch that is repeated after a failure finds itself published and does nothing.
     """
     # Without this, files more than a week older than the newest one would never be imported.
-    reader = spark.readStream.option("maxFilesPerTrigger", files_per_run).option("maxFileAge", ANY_AGE)
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", ANY_AGE)
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
         key = f"{checkpoint}#{batch_id}"
-        if store.has_batch(key):
-            return
-        with Workspace(spark) as workspace:
-            intake_lines(number_lines(batch, workspace), store, source=folder, batch_key=key)
+        if not store.has_batch(key):
+            intake_files(lambda workspace: number_lines(batch, workspace, BY_LANDING), store, batch_key=key)
 
     return (
         read_text(reader, folder)

@@ -193,14 +193,14 @@ def test_failed_run_shows_nothing_but_its_row(spark, store, lines_of, monkeypatc
 
 def test_imports_at_once_take_different_ids_and_only_one_is_published(spark, store, lines_of, monkeypatch):
     lines = lines_of({"title": "Overlap"})
-    load = intake_module.load_lines
+    load = intake_module._load
 
     def overtaken(*arguments):
-        monkeypatch.setattr(intake_module, "load_lines", load)
+        monkeypatch.setattr(intake_module, "_load", load)
         assert intake_lines(lines, store).run_id == 2
-        load(*arguments)
+        return load(*arguments)
 
-    monkeypatch.setattr(intake_module, "load_lines", overtaken)
+    monkeypatch.setattr(intake_module, "_load", overtaken)
     view = store.snapshot()
     with pytest.raises(RuntimeError, match="ingestion failed"):
         intake_lines(lines, store)
@@ -283,4 +283,4 @@ def test_landing_folder_is_one_run_per_file_and_never_imports_twice(spark, tmp_p
     land_lines(lines_of({"title": "c", "body": "3"}).coalesce(1), landing, "third.jsonl")
     import_landing_folder(spark, landing, store, checkpoint).awaitTermination()
     assert [run.inserted for run in store.runs().orderBy("id").collect()][2:] == [1]
-    assert store.has_batch(f"{checkpoint}#2") and not store.has_batch(f"{checkpoint}#3")
+    assert store.has_batch(f"{checkpoint}#1") and not store.has_batch(f"{checkpoint}#2")
