@@ -36,7 +36,7 @@ from docsift.session import Workspace
 # Bytes of the items that are searched for at a time, beside the last one.
 ITEM_BYTES = 1 << 18
 # A segment's documents times the terms asked for.
-SEGMENT_CELLS = 1 << 23
+SEGMENT_CELLS = 1 << 22
 SEGMENT_DOCUMENTS = 2048
 BLOCK_DOCUMENTS = 32
 SKETCH_WIDTH = 32
