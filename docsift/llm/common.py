@@ -39,6 +39,7 @@ def codes_of(items: Sequence) -> tuple[np.ndarray, list]:
     numbers: dict = defaultdict()
     numbers.default_factory = numbers.__len__
     codes = np.fromiter(map(numbers.__getitem__, items), dtype=np.int64, count=len(items))
+    numbers.default_factory = None  # which refers to the mapping itself
     return codes, list(numbers)
 
 

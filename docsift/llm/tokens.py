@@ -53,6 +53,8 @@ class ChunkEncoder(ABC):
     matches: re.Pattern
 
     def _forget(self) -> None:
+        if hasattr(self, "codes"):
+            self.codes.default_factory = None  # or it would stay until a search for cycles finds it
         self.codes: defaultdict = defaultdict()
         self.codes.default_factory = self.codes.__len__
         self.pieces: dict[str, list[int]] = {}
