@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.feed import feed_lines, quoted, table
 from docsift.functions import fields as rules
+from docsift.functions.fingerprint import content_fingerprint
 from docsift.functions.json_values import decode, decoded_value, text_of
 from docsift.operators.dedup import resolve_duplicates
 from docsift.operators.normalize import decode_lines, fingerprint_records, normalize_lines, record_keys
@@ -242,13 +243,13 @@ def list_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = imported(spark, sf_dir)
     filters = {
         "date": LISTS["list_by_date"], "tag": LISTS["list_by_tag"], "status": {"status": "unknown"},
-        "literal": {"q": "100%_"},
+        "literal": {"q": "100%_"}, "percent": {"q": "%"},
     }
     totals = [
         filter_documents(store, **conditions).agg(F.count("*").alias("total")).select(F.lit(name).alias("filter"), "total")
         for name, conditions in filters.items()
     ]
-    return totals[0].unionByName(totals[1]).unionByName(totals[2]).unionByName(totals[3])
+    return reduce(DataFrame.unionByName, totals)
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,14 +279,97 @@ def reimport_adds_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def landing_stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed landed as many small files, of a hundred document numbers each, and imported in one pass: a run a file."""
+    lines = feed_lines(spark, sf_dir)
+    part = (F.col("source_line") / 100).cast("int")
+    per_file = lines.agg(F.max(part).alias("most")).first().most + 1
+    order = F.array_position(F.array(*[F.lit(f"part-{n}") for n in (0, 1, 2, 9)]), F.col("source_file")) - 1
+    numbered = lines.withColumn("file", (order * per_file + part).cast("int"))
+    folder = fresh_folder(spark, "landing")
+    land_lines(numbered.repartitionById(4 * per_file, F.col("file")).sortWithinPartitions("line_order"), folder, "feed.jsonl")
     store = DocumentStore(spark, fresh_folder(spark, "store"))
-    query = import_landing_folder(
-        spark, landed_feed(spark, sf_dir), store, fresh_folder(spark, "stream"), files_per_run=1_000_000
-    )
-    query.awaitTermination()
+    import_landing_folder(spark, folder, store, fresh_folder(spark, "stream")).awaitTermination()
     return store.runs().select(*RUN)
 
 
+def broken_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over the imported tables with every kind of constraint broken on purpose, by arithmetic on the ids."""
+    tables, far = imported(spark, sf_dir).tables(), 1_000_000
+
+    def changed(name: str, column: str, divisor: int, rest: int, value, key: str = "id") -> None:
+        new = F.when(F.col(key) % divisor == rest, value).otherwise(F.col(column))
+        tables[name] = tables[name].withColumn(column, new)
+
+    tags = tables["document_tags"]
+    tables["document_tags"] = tags.unionByName(tags.where("document_id % 29 = 0"))
+    for column, divisor, rest, value in (
+        ("title", 7, 0, F.lit("  ")), ("citation_count", 11, 0, F.lit(-1)), ("page_count", 11, 1, F.lit(2**31)),
+        ("completeness_score", 13, 0, F.lit(101)), ("quality_tier", 13, 1, F.lit("top")),
+        ("doi", 17, 0, F.lit("10.1/same")), ("content_fingerprint", 17, 1, F.lit("same")),
+        ("author_id", 19, 0, F.col("id") + far), ("organization_id", 19, 1, F.col("id") + far),
+        ("region", 23, 0, F.lit("r" * 256)),
+    ):
+        changed("documents", column, divisor, rest, value)
+    for name, divisor in (("authors", 5), ("organizations", 3), ("tags", 2)):
+        changed(name, "name", divisor, 0, F.lit("Everyone"))
+    changed("document_tags", "tag_id", 31, 0, F.col("tag_id") + far, "document_id")
+    changed("document_tags", "document_id", 37, 0, F.col("document_id") + far, "document_id")
+    changed("ingestion_issues", "ingestion_run_id", 41, 0, F.lit(99))
+    changed("ingestion_issues", "reason", 43, 0, F.lit("r" * 101))
+    return constraint_report(tables)
+
+
+def odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for every document with what a decoder meets seldom: bytes that are no UTF-8, NUL and lone surrogates, text
+    after the record, repeated names, numbers that JSON has not, short dates, forms that canonical text makes equal."""
+    number = F.col("doc_id").cast("string")
+
+    def line(*parts) -> F.Column:
+        return F.concat(*[F.encode(part, "UTF-8") if not isinstance(part, bytes) else F.lit(part) for part in
+                          (F.lit(p) if isinstance(p, str) else p for p in parts)])
+
+    def record(rest: str, *more) -> F.Column:
+        return line('{"title":"title ', number, '","updated_at":"2020-01-01","body":"Own ', number, '"', rest, *more, "}")
+
+    dated = ',"published_at":"2023-4-5"'
+    start = '{"title":"title '
+    invalid = F.concat(F.encode(F.concat(F.lit(start), number), "UTF-8"), F.lit(b"\xff\xfe"), F.encode(F.lit('"}'), "UTF-8"))
+    cases = [
+        invalid,
+        record(',"external_id":"\\u0000id"'),
+        record(',"region":"x\\ud800y"'),
+        F.concat(record(""), F.encode(F.lit(" tail"), "UTF-8")),
+        line('{"title":"first","body":"Own ', number, '","title":"last ', number, '"}'),
+        record(',"word_count":NaN'),
+        record(dated),
+        record(',"page_count":', (F.col("doc_id") % 1000).cast("string"), ',"peer_reviewed":"no"'),
+        # Ligature, full-width digits, no-break spaces: the same content as its plain form.
+        line('{"title":"title ', number, '","body":"\ufb01ve\u00a0\u00a0\uff15 ', number, '","peer_reviewed":1,"region":"o\ufb03ce ', number, '"}'),
+    ]
+    case = F
+    for place, value in enumerate(cases):
+        case = case.when(F.col("doc_id") % len(cases) == place, value)
+    lines = table(spark, sf_dir, "documents").select(
+        F.lit("odd").alias("source_file"), F.col("doc_id").alias("source_line"), F.col("doc_id").alias("line_order"),
+        case.cast("string").alias("raw"),
+    )
+    workspace = Workspace(spark)
+    records = workspace.write(fingerprint_records(normalize_lines(lines)), "records")
+    keys = record_keys(records).select("line_order", F.col("content_fingerprint").alias("found"))
+    plain = F.when(F.col("line_order") % 9 == 8, F.concat(F.lit("five 5 "), F.col("line_order").cast("string"))).otherwise(
+        F.concat(F.lit("own "), F.col("line_order").cast("string")))
+    wanted = content_fingerprint(F.lower("title"), plain)
+    shown = F.array_join(F.transform(
+        F.filter("issues", lambda x: ~x["reason"].isin("invalid_date", "updated_before_published")),
+        lambda x: F.concat_ws(":", x["field"], x["reason"], x["value_preview"])), ";")
+    content = F.when(F.col("found") == wanted, F.when(F.col("line_order") % 9 == 8, "plain").otherwise("own"))
+    return records.drop("content_fingerprint").join(keys, "line_order", "left").select(
+        F.col("line_order").alias("doc_id"), "outcome", "title",
+        F.regexp_replace("region", "\ufb03", "ffi").alias("region"), F.col("published_at").cast("string").alias("published_at"),
+        "page_count", "peer_reviewed", shown.alias("issues"), content.alias("content"),
+    )
+
+
 def failed_run_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed with external ids too long for their column: the run fails and none of its rows is visible."""
     store = DocumentStore(spark, fresh_folder(spark, "store"))
@@ -331,6 +415,8 @@ QUERIES: dict[str, Query] = {
     "document_tag_links": stored("document_tags", "document_id", "tag_id", "position"),
     "document_foreign_keys": stored("documents", "id", "author_id", "organization_id"),
     "constraint_report": lambda spark, sf_dir: constraint_report(imported(spark, sf_dir).tables()),
+    "broken_constraints": broken_constraints,
+    "odd_lines": odd_lines,
     **{name: listed(name) for name in LISTS},
     "list_page_by_score": list_page_by_score,
     "list_far_page": list_far_page,

@@ -56,9 +56,13 @@ def _followers(pending: DataFrame, first: DataFrame, workspace: Workspace) -> Da
     ``flips`` is the length of the way to ``root`` modulo two; ``root`` is no follower itself.
     """
     holders = first.select("key", F.col("token").alias("holder"))
+    workspace.same_size(holders, first)
     waiting = join_lookup(pending, holders, ["key"], "inner", workspace).where("token <> holder")
-    waiting = workspace.write(waiting, "waiting")
-    second = workspace.write(waiting.groupBy("key").agg(F.min("token").alias("second")), "second-on-key")
+    waiting = workspace.write(waiting, "waiting", measure=True)
+    if not workspace.measured(waiting)[0]:
+        return waiting.select("token", F.col("holder").alias("root"), F.lit(0).alias("flips"))
+    second = waiting.groupBy("key").agg(F.min("token").alias("second"))
+    second = workspace.write(second, "second-on-key", measure=True)
     links = (
         join_lookup(waiting, second, ["key"], "inner", workspace)
         .groupBy("token")
@@ -69,15 +73,16 @@ def _followers(pending: DataFrame, first: DataFrame, workspace: Workspace) -> Da
         .where("NOT later AND root = other")
         .select("token", "root", F.lit(1).alias("flips"), F.lit(False).alias("done"))
     )
-    links = workspace.write(links, "links")
+    links = workspace.write(links, "links", measure=True)
     while not links.where("NOT done").isEmpty():
         ahead = links.select(F.col("token").alias("root"), F.col("root").alias("next"), F.col("flips").alias("more"))
+        workspace.same_size(ahead, links)
         moved = join_lookup(links.where("NOT done"), ahead, ["root"], "left", workspace).select(
             "token", F.coalesce("next", "root").alias("root"),
             F.pmod(F.col("flips") + F.coalesce("more", F.lit(0)), F.lit(2)).alias("flips"),
             F.col("next").isNull().alias("done"),
         )
-        links = workspace.write(links.where("done").unionByName(moved), "links")
+        links = workspace.write(links.where("done").unionByName(moved), "links", measure=True)
     return links.select("token", "root", "flips")
 
 
@@ -89,26 +94,29 @@ def claimed_keys(keys: DataFrame, workspace: Workspace) -> DataFrame:
     while True:
         first = pending.groupBy("key").agg(F.min("token").alias("token"))
         first = workspace.write(
-            first.withColumn("kept", F.count("*").over(per_record) == 1 + _has_both(F.col("token"))), "first-on-key"
+            first.withColumn("kept", F.count("*").over(per_record) == 1 + _has_both(F.col("token"))), "first-on-key",
+            measure=True,
         )
         claimed = first.where("kept").select("token", "key")
         if claims:
-            roots = workspace.write(claimed.select(F.col("token").alias("root")).distinct(), "roots")
+            roots = claimed.select(F.col("token").alias("root")).distinct()
+            roots = workspace.write(roots, "roots", measure=True)
             even = _followers(pending, first, workspace).where("flips = 0")
             settled = join_lookup(even, roots, ["root"], "left_semi", workspace).select("token")
             claimed = workspace.write(claimed.unionByName(pending.join(settled, "token", "left_semi")), "claimed")
         claims.append(claimed)
-        open_keys = workspace.write(first.select("key").join(claimed, "key", "left_anti"), "open-keys")
-        if open_keys.isEmpty():
+        open_keys = first.select("key").join(claimed, "key", "left_anti")
+        open_keys = workspace.write(open_keys, "open-keys", measure=True)
+        if not workspace.measured(open_keys)[0]:
             break
         still_open = join_lookup(pending, open_keys, ["key"], "left_semi", workspace)
         pending = workspace.write(
             still_open.withColumn("open", F.count("*").over(per_record))
             .where(F.col("open") == 1 + _has_both(F.col("token")))
             .select("token", "key"),
-            "pending",
+            "pending", measure=True,
         )
-        if pending.isEmpty():
+        if not workspace.measured(pending)[0]:
             break
     return reduce(DataFrame.unionByName, claims)
 
@@ -140,7 +148,7 @@ def resolve_duplicates(
     claim_ids = claims.where("token < 0").withColumn("id", _place(F.col("token")) + _STORED_SHIFT)
     claim_ids = claim_ids.unionByName(claims.where("token >= 0").join(numbered, "token"))
     lookup = workspace.write(
-        claim_ids.select("key", F.col("token").alias("claim"), F.col("id").alias("claim_id")), "claims"
+        claim_ids.select("key", F.col("token").alias("claim"), F.col("id").alias("claim_id")), "claims", measure=True
     )
 
     matched = join_lookup(new_keys, lookup, ["key"], "left", workspace)

@@ -76,7 +76,7 @@ def resolve_entities(
         "kind", "name", (last_id[F.col("kind")] + F.col("ordinal") - F.col("start") + 1).alias("entity_id"), "first_id"
     )
     new_names = workspace.write(new_names, "new-names")
-    lookup = workspace.write(known.unionByName(new_names.drop("first_id")), "name-ids")
+    lookup = workspace.write(known.unionByName(new_names.drop("first_id")), "name-ids", measure=True)
     links = join_lookup(mentions, lookup, ["kind", "name"], "inner", workspace)
     links = workspace.write(links.select("id", "kind", "position", "entity_id"), "links")
     return Entities(new_names, known, lookup, links)

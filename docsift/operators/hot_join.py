@@ -14,11 +14,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_KEYS = 10_000
 
 
-def small_enough(lookup: DataFrame, rows: int, size: int) -> bool:
-    """Measure the lookup (a written table): its row count and the bytes of all its columns as text."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in lookup.columns), F.lit(0))
-    measured = lookup.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
-    return measured.n <= rows and measured.size <= size
+def small_enough(lookup: DataFrame, rows: int, size: int, workspace: Workspace) -> bool:
+    """Whether the lookup (a written table) is within both bounds: its rows, and the bytes of all its columns as text."""
+    found_rows, found_size = workspace.measured(lookup)
+    return found_rows <= rows and found_size <= size
 
 
 def hot_keys(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,13 +43,13 @@ def join_lookup(
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how}")
-    if small_enough(lookup, broadcast_rows, broadcast_bytes):
+    if small_enough(lookup, broadcast_rows, broadcast_bytes, workspace):
         return facts.join(F.broadcast(lookup), keys, how)
     hot = workspace.write(hot_keys(facts, keys), "hot-keys")
-    if not small_enough(hot, HOT_KEYS, broadcast_bytes):
+    if not small_enough(hot, HOT_KEYS, broadcast_bytes, workspace):
         return facts.join(lookup, keys, how)
     hot_lookup = workspace.write(lookup.join(F.broadcast(hot), keys, "left_semi"), "hot-lookup")
-    if not small_enough(hot_lookup, broadcast_rows, broadcast_bytes):
+    if not small_enough(hot_lookup, broadcast_rows, broadcast_bytes, workspace):
         # Few keys, but too long to be sent to every task: Spark may still split the join's skewed partitions.
         return facts.join(lookup, keys, how)
     hot_rows = facts.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_lookup), keys, how)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 from datetime import UTC, datetime
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from docsift.operators.numbering import number_rows
 from docsift.operators.quality import violations
 from docsift.operators.stored_keys import key_table, stored_with_keys_of
 from docsift.plans.stats import partial_statistics
-from docsift.session import Workspace
+from docsift.session import Workspace, side_by_side
 from docsift.sources.lines import read_lines
 from docsift.sources.store import DocumentStore, Segment
 
@@ -114,72 +116,97 @@ def settle_names(records: DataFrame, kept: DataFrame, store: DocumentStore, work
     """The names that kept records mention, looked up in those files of the stored names that may hold them."""
     named = records.where("outcome = 'accepted'").select("line_order", "author_name", "organization_name", "tags")
     mentions, names = mentioned_names(named.join(kept, "line_order"), workspace)
-    known = []
-    for kind, table in ENTITY_TABLES.items():
-        asked = workspace.write(names.where(F.col("kind") == kind).select("name"), f"asked-{table}")
-        found = store.probe(table, asked, workspace)
-        known.append(found.select(F.lit(kind).alias("kind"), "name", F.col("id").alias("entity_id")))
+
+    def known(kind: str, table: str) -> DataFrame:
+        asked = workspace.write(names.where(F.col("kind") == kind).select("name"), f"asked-{table}", measure=True)
+        return store.probe(table, asked, workspace).select(F.lit(kind).alias("kind"), "name", F.col("id").alias("entity_id"))
+
+    stored = {kind: table for kind, table in ENTITY_TABLES.items() if store.total(table)}
+    nothing = store.spark.createDataFrame([], "kind string, name string, entity_id bigint")
+    found = reduce(DataFrame.unionByName, side_by_side([partial(known, *pair) for pair in stored.items()]), nothing)
     last_ids = {kind: store.total(table) for kind, table in ENTITY_TABLES.items()}
-    return resolve_entities(mentions, names, known[0].unionByName(known[1]).unionByName(known[2]), last_ids, workspace)
+    return resolve_entities(mentions, names, found, last_ids, workspace)
 
 
-def _load(records: DataFrame, store: DocumentStore, workspace: Workspace, found: Callable[[DataFrame], None]) -> Loaded:
+def _load(records: DataFrame, store: DocumentStore, workspace: Workspace, found: Callable[[DataFrame], None],
+          single_run: int | None) -> Loaded:
     """Write all tables of normalised records, then check them. ``found`` is told the counters as soon as they are known.
 
     The texts are read once more; everything is decided on narrow rows, and the texts are shuffled once, by their place in
     the import order, when their ids are attached. Of the stored tables only what shares a key with a new row is read.
+    What does not depend on each other runs side by side.
     """
     keys, stored, decisions = settle(records, store, workspace)
     outcomes = workspace.write(count_outcomes(records, decisions), "outcomes")
     found(outcomes)
+    counted = outcomes.agg(F.sum("inserted").alias("documents"), F.sum("warnings").alias("issues")).first()
+    totals = {"documents": counted.documents or 0, "issues": counted.issues or 0}
+    with ThreadPoolExecutor(1) as pool:
+        issues = pool.submit(issue_rows, records, decisions, store.total("issues"), workspace)
+        if totals["documents"]:
+            written, entities, names = _kept_rows(records, keys, decisions, store, workspace, single_run)
+        else:
+            written, entities, names = {}, None, None
+        written["ingestion_issues"] = issues.result()
+    segments = store.write_all(written)
+    try:
+        new = {name: store.written(name, segment) for name, segment in segments.items()}
+        if entities is None:
+            _check(new, {})
+            return Loaded(segments, totals)
+        known = {
+            table: entities.known_names.where(F.col("kind") == kind).withColumnRenamed("entity_id", "id")
+            for kind, table in ENTITY_TABLES.items()
+        }
+        _, statistics, by_kind = side_by_side([
+            lambda: _check(new, {**known, "documents": stored}),
+            lambda: store.write("statistics", partial_statistics(new["documents"], entities)),
+            lambda: {row["kind"]: row["count"] for row in names.groupBy("kind").count().collect()},
+        ])
+    except Exception:
+        store.discard(segments)
+        raise
+    totals |= {table: by_kind.get(kind, 0) for kind, table in ENTITY_TABLES.items()}
+    return Loaded(segments | {"statistics": statistics}, totals)
+
+
+def _kept_rows(records: DataFrame, keys: DataFrame, decisions: DataFrame, store: DocumentStore, workspace: Workspace,
+               single_run: int | None) -> tuple[dict[str, DataFrame], Entities, DataFrame]:
+    """What kept records bring to the tables, the names they mention, and those of them that are new."""
     kept = decisions.where("id IS NOT NULL").select("line_order", "id")
     entities = settle_names(records, kept, store, workspace)
     attached = workspace.write(
         kept.join(keys.select("line_order", "content_fingerprint"), "line_order").join(
             foreign_keys(entities.links), "id", "left"
         ),
-        "attached",
+        "attached", measure=True,
     )
-    # Few kept records find their texts without a shuffle; none of a repeated import's texts are moved at all.
-    few = small_enough(attached, BROADCAST_ROWS, BROADCAST_BYTES)
+    # Few kept records find their texts without a shuffle.
+    few = small_enough(attached, BROADCAST_ROWS, BROADCAST_BYTES, workspace)
     texts = records.where("outcome = 'accepted'").drop("content_fingerprint")
-    documents = texts.join(F.broadcast(attached) if few else attached, "line_order")
-    runs = records.select("line_order", "run_id").join(kept, "line_order").select("id", "run_id")
-    runs = workspace.write(runs, "runs-of-documents")
+    runs = None
+    if single_run is None:
+        runs = records.select("line_order", "run_id").join(kept, "line_order").select("id", "run_id")
+        runs = workspace.write(runs, "runs-of-documents")
+
+    def with_run(rows: DataFrame, document: str) -> DataFrame:
+        if runs is None:
+            return rows.withColumn("run_id", F.lit(single_run))
+        return rows.join(runs.withColumnRenamed("id", document), document)
+
+    names = with_run(entities.new_names, "first_id").withColumnRenamed("entity_id", "id")
     written = {
-        "documents": documents,
-        "document_tags": tag_links(entities.links).join(runs.withColumnRenamed("id", "document_id"), "document_id"),
-        "ingestion_issues": issue_rows(records, decisions, store.total("issues"), workspace),
+        "documents": texts.join(F.broadcast(attached) if few else attached, "line_order"),
+        "document_tags": with_run(tag_links(entities.links), "document_id"),
         "document_keys": key_table(kept.join(keys, "line_order")),
     }
-    names = entities.new_names.join(runs.withColumnRenamed("id", "first_id"), "first_id")
-    names = workspace.write(names.withColumnRenamed("entity_id", "id"), "names-with-runs")
-    for kind, table in ENTITY_TABLES.items():
-        written[table] = names.where(F.col("kind") == kind)
-    segments = store.write_all(written)
-    try:
-        new = {name: store.written(name, segment) for name, segment in segments.items()}
-        _check(new, stored, entities)
-        partial = partial_statistics(new["documents"], entities)
-        segments |= store.write_all({"statistics": partial})
-        counted = outcomes.agg(F.sum("inserted").alias("documents"), F.sum("warnings").alias("issues")).first()
-        of_kind = {row["kind"]: row["count"] for row in names.groupBy("kind").count().collect()}
-        totals = {"documents": counted.documents or 0, "issues": counted.issues or 0}
-        totals |= {table: of_kind.get(kind, 0) for kind, table in ENTITY_TABLES.items()}
-    except Exception:
-        store.discard(segments)
-        raise
-    return Loaded(segments, totals)
+    written |= {table: names.where(F.col("kind") == kind) for kind, table in ENTITY_TABLES.items()}
+    return written, entities, names
 
 
-def _check(new: dict[str, DataFrame], stored: DataFrame, entities: Entities) -> None:
+def _check(new: dict[str, DataFrame], known: dict[str, DataFrame]) -> None:
     """Constraints of the new rows among themselves and against the stored rows that share a key or name with them."""
-    known = {
-        table: entities.known_names.where(F.col("kind") == kind).withColumnRenamed("entity_id", "id")
-        for kind, table in ENTITY_TABLES.items()
-    }
-    checked = {name: rows for name, rows in new.items() if name != "document_keys"}
-    broken = violations(checked, {**known, "documents": stored})
+    broken = violations({name: rows for name, rows in new.items() if name != "document_keys"}, known)
     first = broken.orderBy(F.asc_nulls_first("run_id"), "check_name").first()
     if first is not None:
         raise ConstraintViolation(f"{first.check_name}: {first.row_key}", first.run_id)
@@ -204,9 +231,10 @@ class Import:
             F.lit(self.batch_key).alias("batch_key"),
         )
 
-    def load(self, records: DataFrame, sources: DataFrame, alone: bool) -> Loaded:
-        """Load the records; with ``alone``, a run whose rows break a constraint fails and the others are settled without it.
+    def load(self, records: DataFrame, sources: DataFrame, single_run: int | None) -> Loaded:
+        """Load the records, of a single run or of several.
 
+        Of several, one whose rows break a constraint fails by itself, and the others are settled without it.
         As every run is settled after those before it, only the first one that breaks something is known to do so.
         """
 
@@ -216,9 +244,9 @@ class Import:
 
         while True:
             try:
-                return _load(records, self.base, self.workspace, found)
+                return _load(records, self.base, self.workspace, found, single_run)
             except ConstraintViolation as error:
-                if error.run_id is None or not alone:
+                if error.run_id is None or single_run is not None:
                     raise
                 broken = F.col("run_id") == error.run_id
                 row = self.run_rows(self.outcomes.where(broken), "failed", type(error).__name__)
@@ -257,19 +285,20 @@ def _run(open_lines: Callable[[Workspace], DataFrame], store: DocumentStore, sou
     with Workspace(store.spark) as workspace:
         # A refused path is the caller's mistake, not a failed run.
         lines = open_lines(workspace)
-        sources = store.spark.createDataFrame([(0, source)], "file_number bigint, source string")
+        many, files = 1, store.spark.createDataFrame([(0, source)], "file_number bigint, source string")
         if per_file:
-            files = workspace.write(lines.select("file_number", F.col("source_file").alias("source")).distinct(), "files")
-            sources = sources if files.isEmpty() else files
-        many = sources.count()
+            found = lines.select("file_number", F.col("source_file").alias("source")).distinct()
+            found = workspace.write(found, "files", measure=True)
+            if workspace.measured(found)[0]:
+                many, files = workspace.measured(found)[0], found
         first_run = store.claim_runs(many)
+        sources = files.select((first_run + F.col("file_number")).alias("run_id"), "source")
         work = Import(store, workspace, started_at, batch_key)
         try:
             number = F.col("file_number") if per_file else F.lit(0)
             records = fingerprint_records(normalize_lines(lines.withColumn("run_id", (first_run + number).cast("bigint"))))
             records = workspace.write(records, "records")
-            sources = workspace.write(sources.select((first_run + F.col("file_number")).alias("run_id"), "source"), "sources")
-            loaded = work.load(records, sources, alone=per_file)
+            loaded = work.load(records, sources, None if per_file else first_run)
             try:
                 rows = work.publish(loaded, first_run + many - 1)
             except Exception:

@@ -7,8 +7,12 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 # So many keys of a look-up are handed to the scan, which asks the files' statistics and Bloom filters for them.
@@ -46,6 +50,18 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def side_by_side(actions: list[Callable]) -> list:
+    """The results of actions that do not depend on each other, whose jobs Spark may run at the same time."""
+    with ThreadPoolExecutor(max(len(actions), 1)) as pool:
+        return [future.result() for future in [pool.submit(action) for action in actions]]
+
+
+def size_of(frame: DataFrame) -> list[Column]:
+    """The number of a frame's rows, and the bytes of all its columns as text."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in frame.columns), F.lit(0))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")]
+
+
 class Workspace:
     """Written intermediate tables of one job.
 
@@ -56,16 +72,33 @@ class Workspace:
     def __init__(self, spark: SparkSession, base: str | None = None) -> None:
         self.spark = prepare(spark)
         self.path = f"{base or shared_folder(spark)}/work-{uuid.uuid4().hex}"
-        self._tables = 0
+        self._tables = count(1)
+        self._measured: dict[DataFrame, tuple[int, int]] = {}
 
     def folder(self, name: str) -> str:
-        self._tables += 1
-        return f"{self.path}/{self._tables:03d}-{name}"
+        return f"{self.path}/{next(self._tables):03d}-{name}"
 
-    def write(self, frame: DataFrame, name: str) -> DataFrame:
+    def write(self, frame: DataFrame, name: str, measure: bool = False) -> DataFrame:
+        """The frame as a written table. With ``measure`` its rows and bytes are counted while it is written."""
         path = self.folder(name)
+        seen = Observation()
+        if measure:
+            frame = frame.observe(seen, *size_of(frame))
         frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        table = self.spark.read.schema(frame.schema).parquet(path)
+        if measure:
+            self._measured[table] = seen.get["rows"], seen.get["bytes"]
+        return table
+
+    def measured(self, frame: DataFrame) -> tuple[int, int]:
+        """The rows of a written table, and the bytes of all its columns as text."""
+        if frame not in self._measured:
+            self._measured[frame] = tuple(frame.agg(*size_of(frame)).first())
+        return self._measured[frame]
+
+    def same_size(self, view: DataFrame, table: DataFrame) -> None:
+        """Take a view of a measured table, with no other rows and no wider columns, to be as large as the table."""
+        self._measured[view] = self._measured[table]
 
     def delete(self) -> None:
         delete_folder(self.spark, self.path)

@@ -88,9 +88,9 @@ def number_lines(text: DataFrame, workspace: Workspace, order: tuple[str, ...] =
         counted.withColumn("lines_before_block", F.coalesce(F.sum("lines").over(in_file), F.lit(0)))
         .join(files.select("file_path", "lines_before_file", "file_number"), "file_path")
         .select("file_path", "block_start", "first_row", "lines_before_block", "lines_before_file", "file_number"),
-        "block-offsets",
+        "block-offsets", measure=True,
     )
-    if small_enough(offsets, BROADCAST_ROWS, BROADCAST_BYTES):
+    if small_enough(offsets, BROADCAST_ROWS, BROADCAST_BYTES, workspace):
         offsets = F.broadcast(offsets)
     line = F.col("lines_before_block") + F.col("row_id") - F.col("first_row")
     return placed.join(offsets, ["file_path", "block_start"]).select(

@@ -14,13 +14,13 @@ from __future__ import annotations
 
 import math
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.operators.hot_join import join_lookup
-from docsift.session import IN_LIST, Workspace, delete_folder, prepare
+from docsift.session import IN_LIST, Workspace, delete_folder, prepare, side_by_side
 from docsift.sources import schema
 from docsift.sources.log import CommitLog
 
@@ -154,9 +154,7 @@ class DocumentStore:
 
     def write_all(self, tables: dict[str, DataFrame]) -> dict[str, Segment]:
         """Write a segment of each table, side by side."""
-        with ThreadPoolExecutor(len(tables)) as pool:
-            segments = {name: pool.submit(self.write, name, rows) for name, rows in tables.items()}
-            return {name: segment.result() for name, segment in segments.items()}
+        return dict(zip(tables, side_by_side([partial(self.write, *table) for table in tables.items()]), strict=True))
 
     def written(self, name: str, segment: Segment) -> DataFrame:
         """The rows of a segment, visible or not."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,13 @@ def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
     stem, suffix = name.rsplit(".", 1)
     written = sorted(status.getPath().getName() for status in files.globStatus(path(staging, "part-*")))
     landed = []
-    batch = uuid.uuid4().hex
+    batch, landed_at = uuid.uuid4().hex, int(time.time() * 1000)
     for place, part in enumerate(written):
         target = f"{batch}_{stem}-{place:06d}.{suffix}" if len(written) > 1 else f"{batch}_{name}"
         if not files.rename(path(staging, part), path(folder, target)):
             raise OSError(f"unable to land {target}")
+        # The files are imported in the order of landing.
+        files.setTimes(path(folder, target), landed_at + place, -1)
         landed.append(target)
     delete_folder(spark, staging)
     return landed

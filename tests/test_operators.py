@@ -125,7 +125,7 @@ def test_a_chain_of_any_length_takes_two_rounds(spark, workspace):
     """Each record shares its text with one neighbour and its DOI with the other."""
     written = []
     write = workspace.write
-    workspace.write = lambda frame, name: (written.append(name), write(frame, name))[1]
+    workspace.write = lambda frame, name, **options: (written.append(name), write(frame, name, **options))[1]
     records = [(n, f"c{(n + 1) // 2}", f"g{n // 2}") for n in range(500)]
     decided = decide(spark, workspace, [], records)
     assert [order for order in sorted(decided) if decided[order][0] is not None] == list(range(0, 500, 2))
