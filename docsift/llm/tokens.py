@@ -39,6 +39,16 @@ def _byte_level_alphabet() -> dict[int, str]:
 _ALPHABET = _byte_level_alphabet()
 
 
+def _written(piece: str) -> str:
+    """A piece in the characters of byte-level models."""
+    if piece.isascii():
+        if piece.isalnum():
+            return piece
+        if piece[0] == " " and piece[1:].isalnum():
+            return _ALPHABET[0x20] + piece[1:]
+    return piece.encode().decode("latin-1").translate(_ALPHABET)
+
+
 class ChunkEncoder(ABC):
     """Ids of texts by a ``tokenizers`` file, without special tokens added."""
 
@@ -76,17 +86,22 @@ class ChunkEncoder(ABC):
 
     def _plain_ids(self, text: str) -> list[int] | None:
         """The ids of a chunk of plain characters; None for others."""
+        letters = text[1:] if text[:1] == " " else text
+        if letters.isascii() and letters.isalpha():
+            return self._piece_ids(self.prepared(text))  # all of it is one match
         if not self.plain.fullmatch(text):
             return None
         ids: list[int] = []
         for piece in self.matches.findall(self.prepared(text)):
-            known = self.pieces.get(piece)
-            if known is None:
-                written = piece.encode().decode("latin-1").translate(_ALPHABET)
-                known = self.pieces[piece] = [token.id for token in self.model.tokenize(written)]
-            ids += known
+            ids += self._piece_ids(piece)
         return ids
 
+    def _piece_ids(self, piece: str) -> list[int]:
+        known = self.pieces.get(piece)
+        if known is None:
+            known = self.pieces[piece] = [token.id for token in self.model.tokenize(_written(piece))]
+        return known
+
     def _learn(self, keys: list) -> None:
         texts = list(map(self.chunk_text, keys))
         found = list(map(self._plain_ids, texts))
