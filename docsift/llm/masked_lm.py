@@ -3,12 +3,16 @@
 A small network sees the two words before and the two words after a place and predicts the word there. The sum of the
 log-probabilities it gives to all words of a document, each predicted from both sides, is the document's score.
 
-Words are lower-cased and hashed to ``classes`` classes, so there is no vocabulary to cut off. A class is predicted in two
-steps, its upper half and then its lower half, which keeps the softmax short.
+Words are lower-cased, and every word of the corpus is in the vocabulary. The network predicts a word's class, a hash of
+the word, in two steps: the upper half of its bits and then the lower half, which keeps the softmax short. Within its
+class a word has the share of its occurrences in the corpus. So at every place the probabilities of all words of the
+corpus sum to one. The counts of words grow with the corpus; they are grouped and joined back on Spark, by the word.
 
 Training covers every word of the corpus. The documents are dealt to rounds; in a round, every task trains its own copy
-of the network on its documents of that round, and the copies' weighted mean starts the next round. What is gathered
-are the copies: one for each task, so it grows with the corpus. The network itself is of fixed size.
+of the network on its documents of that round, and the copies' weighted mean starts the next round. The network itself
+is of fixed size.
+
+A word is known by its 64-bit hash: unlike words that share one would be counted as one.
 """
 
 from __future__ import annotations
@@ -17,20 +21,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import row_key, whole_text, words_of
+from docsift.llm.common import codes_of, whole_text
+from docsift.operators.hot_join import join_lookup
 from docsift.session import Workspace
 
 _LOWER = bytes(code + 32 if 65 <= code <= 90 else code for code in range(256))
 SIDES = (-2, -1, 1, 2)
-# Words that are scored, and words that a task collects before it trains on them.
-STEP_WORDS, HELD_WORDS = 1 << 15, 1 << 17
+# Words that are scored at once, and words that a task collects before it trains on them.
+STEP_WORDS, HELD_WORDS = 1 << 12, 1 << 17
+# A block is closed when it has so many words; a longer text is one block with what came before it.
+BLOCK_WORDS = 1 << 20
+BLOCKS_OF_PART = 1 << 32
+# codes: each word's number within its block (little-endian, unsigned, 32 bits); hashes (64 bits) and counts (32 bits)
+# of the numbered words.
+BLOCKS = "block long, doc_ids array<long>, lengths array<long>, codes binary, hashes binary, counts binary"
 
 
 @dataclass(frozen=True)
@@ -53,12 +63,17 @@ class Settings:
         return self.half**2
 
 
-def classes_of(text: str, settings: Settings) -> np.ndarray:
-    """The class of every word."""
-    words = words_of(text)
-    hashes = np.fromiter(
-        map(xxhash.xxh64_intdigest, [word.translate(_LOWER) for word in words]), dtype=np.uint64, count=len(words)
-    )
+def lowered_words(text: str) -> list[bytes]:
+    """The words of a text (as ``words_of`` has them), A-Z in lower case."""
+    return text.encode().translate(_LOWER).split()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def classes_of(hashes: np.ndarray, settings: Settings) -> np.ndarray:
+    """The class of every word: the lowest bits of its hash."""
     return (hashes % np.uint64(settings.classes)).astype(np.uint16)
 
 
@@ -92,28 +107,29 @@ class Network:
             setattr(self, f"{name}_sums", self.sums[part].reshape(shape))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.tables[0][around[0]]
+        total = np.take(self.tables[0], around[0], axis=0)
         for side in range(1, len(SIDES)):
-            total = total + self.tables[side][around[side]]
-        return np.maximum(total + self.bias, 0)
+            total += np.take(self.tables[side], around[side], axis=0)
+        total += self.bias
+        return np.maximum(total, 0, out=total)
 
     def chances(self, around: np.ndarray, words: np.ndarray):
-        """What the two output steps give to all halves, in an order that groups the words by their upper half."""
-        upper = (words >> self.settings.half_bits).astype(np.int64)
+        """Logarithms and shares that the two output steps give to all halves, the words grouped by their upper half."""
+        upper = words >> self.settings.half_bits
         order = np.argsort(upper, kind="stable")
-        upper, low = upper[order], (words[order] & (self.settings.half - 1)).astype(np.int64)
+        upper, low = upper[order].astype(np.int64), (words[order] & (self.settings.half - 1)).astype(np.int64)
         hidden = self.hidden(around[:, order])
-        upper_log = _log_softmax(hidden @ self.upper + self.upper_bias)
+        upper_given = _softmax(hidden @ self.upper + self.upper_bias)
         bounds = np.searchsorted(upper, np.arange(self.settings.half + 1)).tolist()
-        lower_log = np.empty((len(words), self.settings.half), dtype=np.float32)
+        logits = np.empty((len(words), self.settings.half), dtype=np.float32)
         for number, (start, end) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if end > start:
-                lower_log[start:end] = hidden[start:end] @ self.lower[number] + self.lower_bias[number]
-        return order, hidden, upper, low, upper_log, _log_softmax(lower_log), bounds
+                logits[start:end] = hidden[start:end] @ self.lower[number] + self.lower_bias[number]
+        return order, hidden, upper, low, upper_given, _softmax(logits), bounds
 
     def log_chances(self, around: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The log-probability of every word, from both sides."""
-        order, _, upper, low, upper_log, lower_log, _ = self.chances(around, words)
+        """The log-probability of every word's class, from both sides."""
+        order, _, upper, low, (upper_log, _), (lower_log, _), _ = self.chances(around, words)
         rows = np.arange(len(words))
         result = np.empty(len(words), dtype=np.float64)
         result[order] = upper_log[rows, upper] + lower_log[rows, low]
@@ -121,9 +137,8 @@ class Network:
 
     def learn(self, around: np.ndarray, words: np.ndarray) -> None:
         """One step of Adagrad on the mean log-probability."""
-        order, hidden, upper, low, upper_log, lower_log, bounds = self.chances(around, words)
+        order, hidden, upper, low, (_, upper_error), (_, lower_error), bounds = self.chances(around, words)
         rows = np.arange(len(words))
-        upper_error, lower_error = np.exp(upper_log), np.exp(lower_log)
         upper_error[rows, upper] -= 1
         lower_error[rows, low] -= 1
         upper_error /= len(words)
@@ -155,20 +170,73 @@ class Network:
         weights[at] -= np.float32(self.settings.rate) * gradient / np.sqrt(sums[at])
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms and shares of every row; a row's length is a power of two."""
+    top = logits
+    while top.shape[1] > 1:
+        middle = top.shape[1] // 2
+        top = np.maximum(top[:, :middle], top[:, middle:])
+    logits -= top
+    shares = np.exp(logits)
+    total = (shares @ np.ones(shares.shape[1], dtype=shares.dtype))[:, None]
+    shares /= total
+    logits -= np.log(total)
+    return logits, shares
 
 
 def surroundings(documents: list[np.ndarray], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """The classes on each side of every word of the documents, and the words themselves."""
     beyond = np.full(2, settings.classes, dtype=np.uint16)
     padded = np.concatenate([beyond, *[part for words in documents for part in (words, beyond)]])
-    lengths = np.array([len(words) for words in documents])
     places = np.flatnonzero(padded != settings.classes)
-    if len(places) != lengths.sum():
+    if len(places) != sum(map(len, documents)):
         raise ValueError("a word has a class beyond the last one")
-    return np.stack([padded[places + side] for side in SIDES]).astype(np.int64), padded[places]
+    return np.stack([padded[places + side] for side in SIDES]), padded[places]
+
+
+def encode(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The words of all rows as BLOCKS, in which each distinct word is hashed and counted once."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() * BLOCKS_OF_PART
+        doc_ids, lengths, words = [], [], []
+
+        def closed() -> pa.RecordBatch:
+            codes, distinct = codes_of(words)
+            counts = np.bincount(codes, minlength=len(distinct))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
+                 pa.array([codes.astype("<u4").tobytes()]), pa.array([hashes_of(distinct).astype("<u8").tobytes()]),
+                 pa.array([counts.astype("<u4").tobytes()])],
+                names=["block", "doc_ids", "lengths", "codes", "hashes", "counts"],
+            )
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = lowered_words(text.as_py())
+                doc_ids.append(doc_id)
+                lengths.append(len(found))
+                words += found
+                if len(words) >= block_words:
+                    yield closed()
+                    block, doc_ids, lengths, words = block + 1, [], [], []
+        if doc_ids:
+            yield closed()
+
+    return documents.select("doc_id", whole_text().alias("whole")).mapInArrow(blocks, BLOCKS)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for place in range(batch.num_rows):
+            yield {name: batch.column(name)[place] for name in batch.schema.names}
+
+
+def documents_of(row: dict, settings: Settings) -> list[np.ndarray]:
+    """The classes of the words of each document of a block."""
+    classes = classes_of(np.frombuffer(row["hashes"].as_py(), dtype="<u8"), settings)
+    ends = np.cumsum(row["lengths"].values.to_numpy())
+    return np.split(classes[np.frombuffer(row["codes"].as_py(), dtype="<u4")], ends[:-1])
 
 
 def _chunks_of(weights: np.ndarray, words: int) -> pa.RecordBatch:
@@ -179,14 +247,14 @@ def _chunks_of(weights: np.ndarray, words: int) -> pa.RecordBatch:
     )
 
 
-def train(encoded: DataFrame, settings: Settings) -> np.ndarray:
-    """The network's weights, trained on all rows of (round, classes)."""
+def train(blocks: DataFrame, settings: Settings) -> np.ndarray:
+    """The network's weights, trained on all documents; those of a block are dealt to the rounds in turn."""
     weights = Network(settings).weights
 
     for number in range(settings.rounds):
         start = weights
 
-        def trained(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+        def trained(batches: Iterator[pa.RecordBatch], number=number, start=start) -> Iterator[pa.RecordBatch]:
             network, seen, held, size = Network(settings, start), 0, [], 0
             rng = np.random.default_rng(TaskContext.get().partitionId())
 
@@ -197,10 +265,10 @@ def train(encoded: DataFrame, settings: Settings) -> np.ndarray:
                     batch = order[at : at + settings.batch]
                     network.learn(around[:, batch], words[batch])
 
-            for batch in batches:
-                for data in batch.column(0):
-                    held.append(np.frombuffer(data.as_py(), dtype="<u2"))
-                    size += len(held[-1])
+            for row in _rows(batches):
+                for words in documents_of(row, settings)[number :: settings.rounds]:
+                    held.append(words)
+                    size += len(words)
                     if size >= HELD_WORDS:
                         learn()
                         seen, held, size = seen + size, [], 0
@@ -209,7 +277,7 @@ def train(encoded: DataFrame, settings: Settings) -> np.ndarray:
             if seen + size:
                 yield _chunks_of(network.weights, seen + size)
 
-        copies = encoded.where(F.col("round") == number).select("classes").mapInArrow(
+        copies = blocks.select("lengths", "codes", "hashes").mapInArrow(
             trained, "place long, words long, weighted double"
         )
         # As many numbers as the network has weights.
@@ -219,50 +287,71 @@ def train(encoded: DataFrame, settings: Settings) -> np.ndarray:
     return weights
 
 
-def encode(documents: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, round and classes (unsigned 16-bit little-endian) of every row; a null text has no words."""
-
-    @F.pandas_udf("binary")
-    def classes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: classes_of(text, settings).astype("<u2").tobytes())
-
-    return documents.select(
-        "doc_id", F.pmod(row_key("doc_id", "text"), F.lit(settings.rounds)).cast("int").alias("round"),
-        classes(whole_text()).alias("classes"),
+def block_words(blocks: DataFrame) -> DataFrame:
+    """(block, code, word, n): the distinct words of every block, by their hashes, and how often they occur in it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            hashes = np.frombuffer(row["hashes"].as_py(), dtype="<i8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(hashes), row["block"].as_py())), pa.array(np.arange(len(hashes), dtype=np.int32)),
+                 pa.array(hashes), pa.array(np.frombuffer(row["counts"].as_py(), dtype="<u4").astype(np.int64))],
+                names=["block", "code", "word", "n"],
+            )
+
+    return blocks.select("block", "hashes", "counts").mapInArrow(rows, "block long, code int, word long, n long")
+
+
+def score_blocks(blocks: DataFrame, weights: np.ndarray, workspace: Workspace, settings: Settings) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document of the (written) blocks."""
+    words = workspace.write(block_words(blocks), "words")
+    totals = workspace.write(words.groupBy("word").agg(F.sum("n").alias("total")), "totals", measure=True)
+    # One number for each class.
+    by_class = totals.groupBy(F.pmod("word", F.lit(settings.classes)).alias("class")).agg(F.sum("total").alias("total"))
+    class_totals = np.ones(settings.classes)
+    for row in by_class.collect():
+        class_totals[row["class"]] = row["total"]
+    counted = join_lookup(words.select("block", "code", "word"), totals, ["word"], "inner", workspace)
+    # As long as the block has distinct words.
+    gathered = counted.groupBy("block").agg(F.collect_list(F.struct("code", "total")).alias("words"))
+    whole = blocks.drop("counts").join(gathered, "block", "left")
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(settings, weights)
+        for row in _rows(batches):
+            classes = classes_of(np.frombuffer(row["hashes"].as_py(), dtype="<u8"), settings)
+            shares = -np.log(class_totals[classes])
+            if row["words"].is_valid:
+                code, total = row["words"].values.flatten()
+                shares[code.to_numpy()] += np.log(total.to_numpy())
+            codes = np.frombuffer(row["codes"].as_py(), dtype="<u4")
+            lengths = row["lengths"].values.to_numpy()
+            around, words = surroundings(documents_of(row, settings), settings)
+            chances = np.concatenate([np.zeros(1), *[
+                network.log_chances(around[:, at : at + STEP_WORDS], words[at : at + STEP_WORDS])
+                for at in range(0, len(words), STEP_WORDS)
+            ]])
+            chances[1:] += shares[codes]
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            sums = np.bincount(owner, weights=chances[1:], minlength=len(lengths)).astype(np.float64)
+            means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
+            yield pa.RecordBatch.from_arrays(
+                [row["doc_ids"].values, pa.array(lengths), pa.array(sums), means],
+                names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+            )
+
+    return whole.mapInArrow(
+        scores, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
     )
 
 
 def score_documents(documents: DataFrame, workspace: Workspace, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum over all words) and mean_log_likelihood of every row.
 
-    The network is trained on the same documents. A null or empty text has no words, the sum 0 and no mean (null).
-    Repeated rows are trained on and scored each; a null doc_id is carried along; other columns are ignored. An empty
-    table gives no rows. Texts are read once; training and scoring read the written classes.
+    The network is trained on the same documents, and the words are counted in them. A null or empty text has no words,
+    the sum 0 and no mean (null). Repeated rows are trained on, counted and scored each; a null doc_id is carried along;
+    other columns are ignored. A very long text is scored whole, in a block of its own. An empty table gives no rows.
+    Texts are read once; training and scoring read the written blocks.
     """
-    encoded = workspace.write(encode(documents, settings), "classes")
-    weights = train(encoded, settings)
-
-    @F.pandas_udf("n_tokens long, log_likelihood double, mean_log_likelihood double")
-    def scores(rows: pd.Series) -> pd.DataFrame:
-        network = Network(settings, weights)
-        documents = [np.frombuffer(data, dtype="<u2") for data in rows]
-        totals = np.zeros(len(documents))
-        start = 0
-        while start < len(documents):
-            end, size = start, 0
-            while end < len(documents) and (end == start or size < STEP_WORDS):
-                size += len(documents[end])
-                end += 1
-            if size:
-                around, words = surroundings(documents[start:end], settings)
-                owner = np.repeat(np.arange(start, end), [len(words) for words in documents[start:end]])
-                for at in range(0, len(words), STEP_WORDS):
-                    part = slice(at, at + STEP_WORDS)
-                    chances = network.log_chances(around[:, part], words[part])
-                    totals += np.bincount(owner[part], weights=chances, minlength=len(documents))
-            start = end
-        n = np.array([len(words) for words in documents], dtype=np.int64)
-        means = pd.Series(totals / np.maximum(n, 1)).where(n > 0, None)
-        return pd.DataFrame({"n_tokens": n, "log_likelihood": totals, "mean_log_likelihood": means})
-
-    return encoded.select("doc_id", scores("classes").alias("score")).select("doc_id", "score.*")
+    blocks = workspace.write(encode(documents), "blocks")
+    return score_blocks(blocks, train(blocks, settings), workspace, settings)
