@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import ragged_positions, whole_text
+from docsift.llm.common import packed, ragged_positions, unpacked, whole_text
 
 # Parts of a row: words of a block in a bucket, or positions of a block.
 ROWS = "block long, route long, words binary, doc_ids array<long>, doc_words array<long>, places binary"
@@ -67,27 +67,6 @@ def decoded_bytes(ids: np.ndarray, path: str) -> bytes:
     return b"".join([table[i] for i in ids.tolist()])
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of small numbers, compressed byte by byte place."""
-    packer = zstandard.ZstdCompressor(level=3)
-    parts = []
-    for array in arrays:
-        planes = np.ascontiguousarray(array, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-        data = packer.compress(np.ascontiguousarray(planes).tobytes())
-        parts += [np.array([len(array), len(data)], dtype="<u8").tobytes(), data]
-    return b"".join(parts)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    unpacker, arrays, at = zstandard.ZstdDecompressor(), [], 0
-    while at < len(data):
-        n, size = np.frombuffer(data, dtype="<u8", count=2, offset=at).tolist()
-        planes = np.frombuffer(unpacker.decompress(data[at + 16 : at + 16 + size]), dtype=np.uint8).reshape(4, n)
-        arrays.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
-        at += 16 + size
-    return arrays
-
-
 def _row(block: int, route: int, words: bytes | None, doc_ids=None, doc_words=None, places=None) -> dict:
     return {"block": block, "route": route, "words": words, "doc_ids": doc_ids, "doc_words": doc_words,
             "places": places}
@@ -148,7 +127,7 @@ def split_blocks(documents: DataFrame, pattern: str, buckets: int, block_chars:
                     rows.append(_row(block, number, packer.compress(joined)))
                 start = end
             yield _batch(rows)
-            yield _batch([_row(block, buckets + block, None, doc_ids, lengths, _pack(ranked, place[codes]))])
+            yield _batch([_row(block, buckets + block, None, doc_ids, lengths, packed(ranked, place[codes]))])
 
         for batch in batches:
             for doc_id, scalar in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -184,7 +163,7 @@ def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
                         found.append(ids)
                     lengths = np.fromiter(map(len, found), dtype=np.uint32, count=len(found))
                     flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum()))
-                    row["words"] = _pack(lengths, flat)
+                    row["words"] = packed(lengths, flat)
                 yield _batch([row])
 
     return rows.mapInArrow(encode, ROWS)
@@ -199,10 +178,10 @@ def join_blocks(rows: DataFrame, path: str, decoded: bool) -> DataFrame:
             *encoded, positions = run
             bucket_lengths, bucket_ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
             for row in encoded:
-                lengths, ids = _unpack(row["words"])
+                lengths, ids = unpacked(row["words"])
                 bucket_lengths.append(lengths)
                 bucket_ids.append(ids)
-            ranked, places = _unpack(positions["places"])
+            ranked, places = unpacked(positions["places"])
             by_bucket = np.argsort(ranked, kind="stable")
             in_order = np.concatenate(bucket_lengths).astype(np.int64)
             flat = np.concatenate(bucket_ids).astype("<u4")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -55,6 +56,27 @@ def crc_of_ids(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of small numbers, compressed byte by byte place."""
+    packer = zstandard.ZstdCompressor(level=3)
+    parts = []
+    for array in arrays:
+        planes = np.ascontiguousarray(array, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+        data = packer.compress(np.ascontiguousarray(planes).tobytes())
+        parts += [np.array([len(array), len(data)], dtype="<u8").tobytes(), data]
+    return b"".join(parts)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    unpacker, arrays, at = zstandard.ZstdDecompressor(), [], 0
+    while at < len(data):
+        n, size = np.frombuffer(data, dtype="<u8", count=2, offset=at).tolist()
+        planes = np.frombuffer(unpacker.decompress(data[at + 16 : at + 16 + size]), dtype=np.uint8).reshape(4, n)
+        arrays.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += 16 + size
+    return arrays
+
+
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(values, type=field.type) for values, field in zip(columns, schema, strict=True)], schema=schema

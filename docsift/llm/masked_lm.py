@@ -6,7 +6,8 @@ log-probabilities it gives to all words of a document, each predicted from both
 Words are lower-cased, and every word of the corpus is in the vocabulary. The network predicts a word's class, a hash of
 the word, in two steps: the upper half of its bits and then the lower half, which keeps the softmax short. Within its
 class a word has the share of its occurrences in the corpus. So at every place the probabilities of all words of the
-corpus sum to one. The counts of words grow with the corpus; they are grouped and joined back on Spark, by the word.
+corpus sum to one. The counts of words grow with the corpus: blocks of documents send theirs to buckets, which are
+ranges of the words' hashes, and the buckets send the sums back.
 
 Training covers every word of the corpus. The documents are dealt to rounds; in a round, every task trains its own copy
 of the network on its documents of that round, and the copies' weighted mean starts the next round. The network itself
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import codes_of, whole_text
-from docsift.operators.hot_join import join_lookup
+from docsift.llm.common import codes_of, packed, unpacked, whole_text
 from docsift.session import Workspace
 
 _LOWER = bytes(code + 32 if 65 <= code <= 90 else code for code in range(256))
@@ -36,11 +37,14 @@ SIDES = (-2, -1, 1, 2)
 # Words that are scored at once, and words that a task collects before it trains on them.
 STEP_WORDS, HELD_WORDS = 1 << 12, 1 << 17
 # A block is closed when it has so many words; a longer text is one block with what came before it.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 BLOCKS_OF_PART = 1 << 32
-# codes: each word's number within its block (little-endian, unsigned, 32 bits); hashes (64 bits) and counts (32 bits)
-# of the numbered words.
-BLOCKS = "block long, doc_ids array<long>, lengths array<long>, codes binary, hashes binary, counts binary"
+# codes: each word's number within its block; hashes (64 bits) and counts of the block's n_distinct numbered words.
+BLOCKS = (
+    "block long, doc_ids array<long>, lengths array<long>, codes binary, hashes binary, counts binary, n_distinct long"
+)
+# Words of all blocks that a bucket has on average, and the least number of buckets.
+BUCKET_WORDS, LEAST_BUCKETS = 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -204,11 +208,14 @@ def encode(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         def closed() -> pa.RecordBatch:
             codes, distinct = codes_of(words)
             counts = np.bincount(codes, minlength=len(distinct))
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty(len(distinct), dtype=np.uint32)  # frequent words get small numbers
+            place[order] = np.arange(len(distinct), dtype=np.uint32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
-                 pa.array([codes.astype("<u4").tobytes()]), pa.array([hashes_of(distinct).astype("<u8").tobytes()]),
-                 pa.array([counts.astype("<u4").tobytes()])],
-                names=["block", "doc_ids", "lengths", "codes", "hashes", "counts"],
+                 pa.array([packed(place[codes])]), pa.array([hashes_of(distinct)[order].astype("<u8").tobytes()]),
+                 pa.array([packed(counts[order])]), pa.array([len(distinct)])],
+                names=["block", "doc_ids", "lengths", "codes", "hashes", "counts", "n_distinct"],
             )
 
         for batch in batches:
@@ -232,11 +239,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[place] for name in batch.schema.names}
 
 
+def _hashes(row: dict) -> np.ndarray:
+    return np.frombuffer(row["hashes"].as_py(), dtype="<u8")
+
+
 def documents_of(row: dict, settings: Settings) -> list[np.ndarray]:
     """The classes of the words of each document of a block."""
-    classes = classes_of(np.frombuffer(row["hashes"].as_py(), dtype="<u8"), settings)
     ends = np.cumsum(row["lengths"].values.to_numpy())
-    return np.split(classes[np.frombuffer(row["codes"].as_py(), dtype="<u4")], ends[:-1])
+    return np.split(classes_of(_hashes(row), settings)[unpacked(row["codes"].as_py())[0]], ends[:-1])
 
 
 def _chunks_of(weights: np.ndarray, words: int) -> pa.RecordBatch:
@@ -287,53 +297,93 @@ def train(blocks: DataFrame, settings: Settings) -> np.ndarray:
     return weights
 
 
-def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, code, word, n): the distinct words of every block, by their hashes, and how often they occur in it."""
+def class_totals(blocks: DataFrame, settings: Settings) -> np.ndarray:
+    """How often words of each class occur in all blocks; one for a class without words."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(settings.classes, dtype=np.int64)
         for row in _rows(batches):
-            hashes = np.frombuffer(row["hashes"].as_py(), dtype="<i8")
+            np.add.at(totals, classes_of(_hashes(row), settings), unpacked(row["counts"].as_py())[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(totals))), pa.array(totals)], names=["class", "total"])
+
+    rows = blocks.select("hashes", "counts").mapInArrow(counted, "class long, total long")
+    totals = np.ones(settings.classes)
+    for row in rows.groupBy("class").agg(F.sum("total").alias("total")).where("total > 0").collect():
+        totals[row["class"]] = row["total"]
+    return totals
+
+
+def log_totals(blocks: DataFrame) -> DataFrame:
+    """(block, bucket, logs): the logarithm of how often each word of a block occurs in all blocks.
+
+    Buckets are equal ranges of hashes; ``logs`` (32-bit floats) follow the block's words in the order of their hashes.
+    A word comes at most once from each block, and the number of buckets grows with what comes from all blocks, so a
+    bucket's share of it stays of one size.
+    """
+    words = blocks.agg(F.sum("n_distinct")).first()[0] or 0
+    bits = max(-(-words // BUCKET_WORDS), LEAST_BUCKETS).bit_length()
+    bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            hashes, counts = _hashes(row), unpacked(row["counts"].as_py())[0]
+            order = np.argsort(hashes)
+            hashes, counts = hashes[order], counts[order].astype("<u4")
+            ends = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+            parts = [(number, a, b) for number, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([row["block"].as_py()] * len(parts), pa.int64()),
+                 pa.array([number for number, _, _ in parts], pa.int32()),
+                 pa.array([hashes[a:b].tobytes() for _, a, b in parts], pa.binary()),
+                 pa.array([counts[a:b].tobytes() for _, a, b in parts], pa.binary())],
+                names=["block", "bucket", "hashes", "counts"],
+            )
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, run in groupby(_rows(batches), key=lambda row: row["bucket"].as_py()):
+            blocks_of_run, hashes, counts = [], [], []
+            for row in run:
+                blocks_of_run.append(row["block"].as_py())
+                hashes.append(_hashes(row))
+                counts.append(np.frombuffer(row["counts"].as_py(), dtype="<u4"))
+            _, word = np.unique(np.concatenate(hashes), return_inverse=True)
+            logs = np.log(np.bincount(word, weights=np.concatenate(counts)))[word].astype("<f4")
+            parts = np.split(logs, np.cumsum([len(part) for part in hashes])[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(hashes), row["block"].as_py())), pa.array(np.arange(len(hashes), dtype=np.int32)),
-                 pa.array(hashes), pa.array(np.frombuffer(row["counts"].as_py(), dtype="<u4").astype(np.int64))],
-                names=["block", "code", "word", "n"],
+                [pa.array(blocks_of_run, pa.int64()), pa.array([bucket] * len(parts), pa.int32()),
+                 pa.array([part.tobytes() for part in parts], pa.binary())],
+                names=["block", "bucket", "logs"],
             )
 
-    return blocks.select("block", "hashes", "counts").mapInArrow(rows, "block long, code int, word long, n long")
+    met = blocks.select("block", "hashes", "counts").mapInArrow(
+        dealt, "block long, bucket int, hashes binary, counts binary"
+    )
+    met = met.repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(summed, "block long, bucket int, logs binary")
 
 
-def score_blocks(blocks: DataFrame, weights: np.ndarray, workspace: Workspace, settings: Settings) -> DataFrame:
+def score_blocks(blocks: DataFrame, weights: np.ndarray, settings: Settings) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document of the (written) blocks."""
-    words = workspace.write(block_words(blocks), "words")
-    totals = workspace.write(words.groupBy("word").agg(F.sum("n").alias("total")), "totals", measure=True)
-    # One number for each class.
-    by_class = totals.groupBy(F.pmod("word", F.lit(settings.classes)).alias("class")).agg(F.sum("total").alias("total"))
-    class_totals = np.ones(settings.classes)
-    for row in by_class.collect():
-        class_totals[row["class"]] = row["total"]
-    counted = join_lookup(words.select("block", "code", "word"), totals, ["word"], "inner", workspace)
-    # As long as the block has distinct words.
-    gathered = counted.groupBy("block").agg(F.collect_list(F.struct("code", "total")).alias("words"))
+    in_class = class_totals(blocks, settings)
+    # One row for each bucket, at most one for each word of the block.
+    gathered = log_totals(blocks).groupBy("block").agg(F.collect_list(F.struct("bucket", "logs")).alias("parts"))
+    gathered = gathered.select("block", F.array_sort("parts")["logs"].alias("logs"))
     whole = blocks.drop("counts").join(gathered, "block", "left")
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(settings, weights)
         for row in _rows(batches):
-            classes = classes_of(np.frombuffer(row["hashes"].as_py(), dtype="<u8"), settings)
-            shares = -np.log(class_totals[classes])
-            if row["words"].is_valid:
-                code, total = row["words"].values.flatten()
-                shares[code.to_numpy()] += np.log(total.to_numpy())
-            codes = np.frombuffer(row["codes"].as_py(), dtype="<u4")
+            hashes = _hashes(row)
+            shares = -np.log(in_class[classes_of(hashes, settings)])
+            shares[np.argsort(hashes)] += np.frombuffer(b"".join(row["logs"].as_py() or []), dtype="<f4")
             lengths = row["lengths"].values.to_numpy()
             around, words = surroundings(documents_of(row, settings), settings)
-            chances = np.concatenate([np.zeros(1), *[
-                network.log_chances(around[:, at : at + STEP_WORDS], words[at : at + STEP_WORDS])
-                for at in range(0, len(words), STEP_WORDS)
-            ]])
-            chances[1:] += shares[codes]
+            chances = shares[unpacked(row["codes"].as_py())[0]]
+            for at in range(0, len(words), STEP_WORDS):
+                part = slice(at, at + STEP_WORDS)
+                chances[part] += network.log_chances(around[:, part], words[part])
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            sums = np.bincount(owner, weights=chances[1:], minlength=len(lengths)).astype(np.float64)
+            sums = np.bincount(owner, weights=chances, minlength=len(lengths)).astype(np.float64)
             means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
             yield pa.RecordBatch.from_arrays(
                 [row["doc_ids"].values, pa.array(lengths), pa.array(sums), means],
@@ -354,4 +404,4 @@ def score_documents(documents: DataFrame, workspace: Workspace, settings: Settin
     Texts are read once; training and scoring read the written blocks.
     """
     blocks = workspace.write(encode(documents), "blocks")
-    return score_blocks(blocks, train(blocks, settings), workspace, settings)
+    return score_blocks(blocks, train(blocks, settings), settings)

@@ -111,7 +111,7 @@ def test_scores_by_a_plain_loop(spark, workspace):
     in_class = Counter()
     for word, n in counts.items():
         in_class[class_of[word]] += n
-    found = score_blocks(blocks, weights, workspace, settings).collect()
+    found = score_blocks(blocks, weights, settings).collect()
     assert blocks.count() > 10 and len(found) == len(texts)
     found = {row.doc_id: row for row in found}
     for place, words in enumerate(split):
