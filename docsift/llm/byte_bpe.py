@@ -36,7 +36,8 @@ ROW_SCHEMA = pa.schema([
     ("doc_ids", pa.list_(pa.int64())), ("doc_words", pa.list_(pa.int64())), ("places", pa.binary()),
 ])
 BLOCK_CHARS = 32_000_000
-BUCKETS = 1024
+# A bucket holds the distinct words of about so many bytes of text; there are at least so many buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 64_000_000, 1024
 SEPARATOR = b"\xff"  # in no UTF-8 text
 BLOCKS_OF_PART = 1 << 32
 
@@ -146,25 +147,29 @@ def split_blocks(documents: DataFrame, pattern: str, buckets: int, block_chars:
 
 
 def encode_words(rows: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Step 2: in every row of words, the words are replaced by their ids; each word of a bucket is encoded once."""
+    """Step 2: in every row of words, the words are replaced by their ids; each word of a bucket is encoded once.
+
+    The rows of a bucket follow each other; a task holds one of them, and the bucket's distinct words.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoding(path, pattern).encode_ordinary
         unpacker = zstandard.ZstdDecompressor()
-        for run in _runs(_rows(batches), "route"):
-            known: dict[bytes, list[int]] = {}
-            for row in run:
-                if row["words"] is not None:
-                    found = []
-                    for word in unpacker.decompress(row["words"]).split(SEPARATOR):
-                        ids = known.get(word)
-                        if ids is None:
-                            ids = known[word] = ids_of(word.decode())
-                        found.append(ids)
-                    lengths = np.fromiter(map(len, found), dtype=np.uint32, count=len(found))
-                    flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum()))
-                    row["words"] = packed(lengths, flat)
-                yield _batch([row])
+        route, known = None, {}
+        for row in _rows(batches):
+            if row["route"] != route:
+                route, known = row["route"], {}
+            if row["words"] is not None:
+                found = []
+                for word in unpacker.decompress(row["words"]).split(SEPARATOR):
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = ids_of(word.decode())
+                    found.append(ids)
+                lengths = np.fromiter(map(len, found), dtype=np.uint32, count=len(found))
+                flat = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum()))
+                row["words"] = packed(lengths, flat)
+            yield _batch([row])
 
     return rows.mapInArrow(encode, ROWS)
 
@@ -209,7 +214,7 @@ IDS = "doc_id long, n_tokens long, ids binary"
 IDS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def encode_documents(documents: DataFrame, path: str, pattern: str, buckets: int = BUCKETS,
+def encode_documents(documents: DataFrame, path: str, pattern: str, buckets: int | None = None,
                      block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian, unsigned, 32 bits each) of every row's whole text.
 
@@ -217,10 +222,13 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, buckets: int
 
     ``path`` is a rank file and ``pattern`` its pattern for pre-tokens. A null text is the empty one and has no ids. A
     very long text is a block of its own. Repeated rows are encoded each, a null doc_id is carried along, other
-    columns are ignored, an empty table gives no rows. ``buckets`` must grow with the number of distinct words, so
-    that those of one fit a task's memory.
+    columns are ignored, an empty table gives no rows. The number of ``buckets`` grows with the texts' bytes, which are
+    added up first, so that the distinct words of one fit a task's memory.
     """
     whole = documents.select("doc_id", whole_text().alias("whole"))
+    if buckets is None:
+        size = whole.agg(F.sum(F.octet_length("whole").cast("long"))).first()[0] or 0
+        buckets = max(size // BUCKET_BYTES, LEAST_BUCKETS)
     met = split_blocks(whole, pattern, buckets, block_chars).repartition("route").sortWithinPartitions("route")
     back = encode_words(met, path, pattern).repartition("block").sortWithinPartitions("block", "route")
     return join_blocks(back, path, decoded)
