@@ -20,7 +20,7 @@ from docsift.operators.numbering import number_rows
 from docsift.operators.quality import constraint_report
 from docsift.plans.events import run_events
 from docsift.plans.intake import intake_lines
-from docsift.plans.review import document_details, filter_documents, page_of
+from docsift.plans.review import document_details, filter_documents, list_documents, page_of
 from docsift.plans.stats import statistics
 from docsift.session import Workspace, prepare, shared_folder
 from docsift.sources.lines import read_lines
@@ -223,20 +223,21 @@ def issues_by_field_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listed(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return shown_items(page_of(filter_documents(imported(spark, sf_dir), **LISTS[name]), 1, 20, "id"))
+        return shown_items(list_documents(imported(spark, sf_dir), **LISTS[name]).items)
 
     return query
 
 
 def list_page_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = imported(spark, sf_dir).table("documents").where("status IS NOT NULL")
-    return shown_items(page_of(documents, 2, 20, "score"))
+    store = imported(spark, sf_dir).snapshot()
+    return shown_items(
+        page_of(store, lambda blocks: filter_documents(store, blocks=blocks).where("status IS NOT NULL"), 2, 20, "score").items
+    )
 
 
 def list_far_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page found by distributed numbering, the way of pages far from the start."""
-    documents = imported(spark, sf_dir).table("documents")
-    return shown_items(page_of(documents, 3, 20, "score", Workspace(spark), top_rows=0))
+    """A page of all documents, found by the sums that the imports have left."""
+    return shown_items(list_documents(imported(spark, sf_dir), page=3, sort="score").items)
 
 
 def list_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

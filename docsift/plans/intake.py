@@ -20,7 +20,7 @@ from docsift.operators.normalize import fingerprint_records, normalize_lines, re
 from docsift.operators.numbering import number_rows
 from docsift.operators.quality import violations
 from docsift.operators.stored_keys import key_table, stored_with_keys_of
-from docsift.plans.stats import partial_statistics
+from docsift.plans.stats import partial_statistics, score_blocks
 from docsift.session import Workspace, side_by_side
 from docsift.sources.lines import read_lines
 from docsift.sources.store import DocumentStore, Segment
@@ -158,16 +158,17 @@ def _load(records: DataFrame, store: DocumentStore, workspace: Workspace, found:
             table: entities.known_names.where(F.col("kind") == kind).withColumnRenamed("entity_id", "id")
             for kind, table in ENTITY_TABLES.items()
         }
-        _, statistics, by_kind = side_by_side([
+        _, statistics, blocks, by_kind = side_by_side([
             lambda: _check(new, {**known, "documents": stored}),
             lambda: store.write("statistics", partial_statistics(new["documents"], entities)),
+            lambda: store.write("score_blocks", score_blocks(new["documents"], store)),
             lambda: {row["kind"]: row["count"] for row in names.groupBy("kind").count().collect()},
         ])
     except Exception:
         store.discard(segments)
         raise
     totals |= {table: by_kind.get(kind, 0) for kind, table in ENTITY_TABLES.items()}
-    return Loaded(segments | {"statistics": statistics}, totals)
+    return Loaded(segments | {"statistics": statistics, "score_blocks": blocks}, totals)
 
 
 def _kept_rows(records: DataFrame, keys: DataFrame, decisions: DataFrame, store: DocumentStore, workspace: Workspace,
@@ -184,6 +185,9 @@ def _kept_rows(records: DataFrame, keys: DataFrame, decisions: DataFrame, store:
     # Few kept records find their texts without a shuffle.
     few = small_enough(attached, BROADCAST_ROWS, BROADCAST_BYTES, workspace)
     texts = records.where("outcome = 'accepted'").drop("content_fingerprint")
+    by_line = texts.join(F.broadcast(attached), "line_order") if few else _in_parts(texts, store).join(
+        _in_parts(attached, store), ["part", "line_order"]
+    )
     runs = None
     if single_run is None:
         runs = records.select("line_order", "run_id").join(kept, "line_order").select("id", "run_id")
@@ -196,7 +200,7 @@ def _kept_rows(records: DataFrame, keys: DataFrame, decisions: DataFrame, store:
 
     names = with_run(entities.new_names, "first_id").withColumnRenamed("entity_id", "id")
     written = {
-        "documents": texts.join(F.broadcast(attached) if few else attached, "line_order"),
+        "documents": by_line,
         "document_tags": with_run(tag_links(entities.links), "document_id"),
         "document_keys": key_table(kept.join(keys, "line_order")),
     }
@@ -204,6 +208,12 @@ def _kept_rows(records: DataFrame, keys: DataFrame, decisions: DataFrame, store:
     return written, entities, names
 
 
+def _in_parts(rows: DataFrame, store: DocumentStore) -> DataFrame:
+    """Rows shuffled by parts of the import order, so that documents of a block of ids meet in few tasks."""
+    part = F.floor(F.col("line_order") / F.lit(store.block_ids)).cast("bigint")
+    return rows.withColumn("part", part).repartition("part")
+
+
 def _check(new: dict[str, DataFrame], known: dict[str, DataFrame]) -> None:
     """Constraints of the new rows among themselves and against the stored rows that share a key or name with them."""
     broken = violations({name: rows for name, rows in new.items() if name != "document_keys"}, known)

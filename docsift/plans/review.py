@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.operators.entities import known_entities
 from docsift.operators.hot_join import join_lookup
-from docsift.operators.numbering import number_rows
 from docsift.session import Workspace
 from docsift.sources.store import DocumentStore
 
@@ -22,10 +23,8 @@ DETAIL_COLUMNS = (
     *ITEM_COLUMNS, "body", "updated_at", "language", "region", "source_name", "url", "doi", "open_access",
     "peer_reviewed", "citation_count", "page_count", "word_count", "author_name", "organization_name", "tags",
 )
-SORT_KEYS = {"id": ["id"], "score": ["inverse_score", "id"]}
+SORTS = ("id", "score")
 MAX_PAGE_SIZE = 100
-# Up to here a page is the end of a top-n; further back it is found by distributed numbering.
-TOP_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,13 +44,16 @@ def filter_documents(
     organization: str | None = None,
     status: str | None = None,
     q: str | None = None,
+    blocks: set[int] | None = None,
 ) -> DataFrame:
     """Stored documents that meet all given conditions.
 
-    ``q`` is a literal, case-insensitive substring of title or body. Empty arguments set no condition.
+    ``q`` is a literal, case-insensitive substring of title or body. Empty arguments set no condition. With ``blocks``,
+    only documents whose ids lie in these blocks are read.
     """
     store = store.snapshot()
-    documents = store.table("documents")
+    read = store.table if blocks is None else partial(store.blocks, wanted=blocks)
+    documents = read("documents")
     if date_from is not None:
         documents = documents.where(F.col("published_at") >= F.lit(date_from))
     if date_to is not None:
@@ -66,7 +68,7 @@ def filter_documents(
     # Names are unique, so each of these finds at most one id, which is all that is broadcast.
     if tag:
         tags = store.table("tags").where(F.col("name") == tag.strip().casefold()).select(F.col("id").alias("tag_id"))
-        tagged = store.table("document_tags").join(F.broadcast(tags), "tag_id", "left_semi")
+        tagged = read("document_tags").join(F.broadcast(tags), "tag_id", "left_semi")
         documents = documents.join(tagged.select(F.col("document_id").alias("id")), "id", "left_semi")
     if organization:
         named = store.table("organizations").where(F.col("name") == organization.strip())
@@ -82,45 +84,88 @@ def check_list_arguments(page: int, page_size: int, date_from: date | None, date
         raise ValueError(f"page_size must be from 1 to {MAX_PAGE_SIZE}")
     if date_from and date_to and date_from > date_to:
         raise ValueError("the range of dates ends before it begins")
-    if sort not in SORT_KEYS:
+    if sort not in SORTS:
         raise ValueError("sort must be id or score")
 
 
+def _rank(sort: str, score: str):
+    """What a list is sorted by before the id: at most as many values as there are scores."""
+    return (-F.col(score) if sort == "score" else F.lit(0)).alias("rank")
+
+
+def _counts(store: DocumentStore, sort: str, documents: DataFrame | None, workspace: Workspace) -> DataFrame:
+    """(rank, block, documents): how many documents of the list lie in each block of ids.
+
+    For the list of all documents these are sums that the imports have left; others are read, once.
+    """
+    if documents is None:
+        return store.table("score_blocks").select(_rank(sort, "score"), "block", "documents")
+    block = store.block_of(F.col("id")).alias("block")
+    counts = documents.groupBy(_rank(sort, "completeness_score"), block).agg(F.count("*").alias("documents"))
+    return workspace.write(counts, "counts")
+
+
+def _cells(counts: DataFrame, ranks: dict[int, int], first: int, end: int) -> DataFrame:
+    """(rank, block, before) of the blocks that hold the places ``first`` to ``end - 1``; each has one of them at least."""
+    before, starts = 0, []
+    for rank, documents in sorted(ranks.items()):
+        if before < end and before + documents > first:
+            starts.append((rank, before))
+        before += documents
+    starting = counts.sparkSession.createDataFrame(starts, "rank int, start bigint")
+    chosen = counts.join(F.broadcast(starting), "rank").groupBy("rank", "start", "block").agg(
+        F.sum("documents").alias("documents")
+    )
+    so_far = Window.partitionBy("rank").orderBy("block")
+    placed = chosen.withColumn("after", F.col("start") + F.sum("documents").over(so_far))
+    placed = placed.withColumn("before", F.col("after") - F.col("documents"))
+    return placed.where((F.col("before") < end) & (F.col("after") > first)).select("rank", "block", "before")
+
+
 def page_of(
-    documents: DataFrame,
-    page: int,
-    page_size: int,
-    sort: str,
-    workspace: Workspace | None = None,
-    top_rows: int = TOP_ROWS,
-) -> DataFrame:
-    """One page of the list columns, in order. ``workspace`` is used for pages beyond ``top_rows`` only."""
-    offset = (page - 1) * page_size
-    items = documents.select(*ITEM_COLUMNS)
+    store: DocumentStore, found: Callable[[set[int] | None], DataFrame], page: int, page_size: int, sort: str,
+    everything: bool = False,
+) -> DocumentPage:
+    """A page of the documents that ``found`` gives for some blocks of ids, or for all (None), and how many there are.
+
+    Where the page lies is told by counts by score and block of ids; then only the blocks with the page's documents are
+    read, however far back the page is. What is collected are the counts by score and a page of ids. ``store`` is a
+    snapshot; ``everything`` says that the list holds all its documents.
+    """
+    first, end = (page - 1) * page_size, page * page_size
+    with Workspace(store.spark) as workspace:
+        counts = _counts(store, sort, None if everything else found(None), workspace)
+        by_rank = counts.groupBy("rank").agg(F.sum("documents").alias("documents"))
+        ranks = {row["rank"]: row["documents"] for row in by_rank.collect()}
+        total = sum(ranks.values())
+        cells = _cells(counts, ranks, first, end).collect() if first < total else []
+    ids = []
+    if cells:
+        within = Window.partitionBy("rank", "block").orderBy("id")
+        near = found({cell["block"] for cell in cells}).select(
+            "id", _rank(sort, "completeness_score"), store.block_of(F.col("id")).alias("block")
+        )
+        # At most a page of them.
+        held = F.broadcast(store.spark.createDataFrame(cells, "rank int, block bigint, before bigint"))
+        place = F.col("before") + F.row_number().over(within) - 1
+        placed = near.join(held, ["rank", "block"]).withColumn("place", place)
+        ids = [row["id"] for row in placed.where(F.col("place").between(first, end - 1)).collect()]
+    items = store.blocks("documents", {number // store.block_ids for number in ids}).where(F.col("id").isin(ids))
     order = [F.col("completeness_score").desc(), F.col("id")] if sort == "score" else [F.col("id")]
-    if offset + page_size <= top_rows:
-        return items.orderBy(*order).offset(offset).limit(page_size)
-    workspace = workspace or Workspace(documents.sparkSession)
-    narrow = documents.select("id", (-F.col("completeness_score")).alias("inverse_score"))
-    numbered = number_rows(narrow, SORT_KEYS[sort], "ordinal", workspace)
-    # At most page_size ids.
-    chosen = numbered.where(F.col("ordinal").between(offset, offset + page_size - 1)).select("id")
-    return items.join(F.broadcast(chosen), "id", "left_semi").orderBy(*order)
+    return DocumentPage(items.select(*ITEM_COLUMNS).orderBy(*order), total, page, page_size)
 
 
 def list_documents(
-    store: DocumentStore,
-    *,
-    page: int = 1,
-    page_size: int = 20,
-    sort: str = "id",
-    workspace: Workspace | None = None,
-    **conditions,
+    store: DocumentStore, *, page: int = 1, page_size: int = 20, sort: str = "id", **conditions
 ) -> DocumentPage:
     """A page of the documents that meet the conditions of filter_documents, and how many meet them."""
     check_list_arguments(page, page_size, conditions.get("date_from"), conditions.get("date_to"), sort)
-    documents = filter_documents(store, **conditions)
-    return DocumentPage(page_of(documents, page, page_size, sort, workspace), documents.count(), page, page_size)
+    store = store.snapshot()
+
+    def found(blocks: set[int] | None) -> DataFrame:
+        return filter_documents(store, **conditions, blocks=blocks)
+
+    return page_of(store, found, page, page_size, sort, everything=not any(conditions.values()))
 
 
 def _references(documents: DataFrame, links: DataFrame) -> DataFrame:
@@ -166,11 +211,12 @@ def document_details(store: DocumentStore, workspace: Workspace | None = None) -
 
 
 def get_document(store: DocumentStore, document_id: int) -> DataFrame:
-    """The detail of one document; no row if there is none."""
-    tables = store.tables()
-    document = tables["documents"].where(F.col("id") == document_id)
-    links = tables["document_tags"].where(F.col("document_id") == document_id)
-    known = known_entities(tables["authors"], tables["organizations"], tables["tags"])
+    """The detail of one document; no row if there is none. Of documents and links one block of ids is read."""
+    store = store.snapshot()
+    block = {document_id // store.block_ids}
+    document = store.blocks("documents", block).where(F.col("id") == document_id)
+    links = store.blocks("document_tags", block).where(F.col("document_id") == document_id)
+    known = known_entities(store.table("authors"), store.table("organizations"), store.table("tags"))
     # What one document refers to is as small as the document's own tag list.
     named = known.join(F.broadcast(_references(document, links)), ["kind", "entity_id"])
     return _with_names(document, named)

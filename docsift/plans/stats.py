@@ -45,6 +45,12 @@ def document_measures(documents: DataFrame) -> DataFrame:
     )
 
 
+def score_blocks(documents: DataFrame, store: DocumentStore) -> DataFrame:
+    """How many of an import's documents have each score, by blocks of ids: where a page of a sorted list begins."""
+    block = store.block_of(F.col("id")).alias("block")
+    return documents.groupBy(F.col("completeness_score").alias("score"), block).agg(F.count("*").alias("documents"))
+
+
 def partial_statistics(documents: DataFrame, entities: Entities) -> DataFrame:
     """(metric, key, value): the sums of an import, from its documents and the names they mention.
 

@@ -23,6 +23,8 @@ ISSUES = (
 DOCUMENT_KEYS = "key string, other_key string, id bigint"
 # Sums over the documents of an import, to be added up.
 STATISTICS = "metric string, key string, value bigint"
+# How many documents of an import have a score, for each block of ids; to be added up.
+SCORE_BLOCKS = "score int, block bigint, documents bigint"
 TABLES = {
     "documents": DOCUMENTS,
     "authors": NAMES,
@@ -32,11 +34,16 @@ TABLES = {
     "ingestion_issues": ISSUES,
     "document_keys": DOCUMENT_KEYS,
     "statistics": STATISTICS,
+    "score_blocks": SCORE_BLOCKS,
     "ingestion_runs": RUNS,
 }
 # Tables that are looked up by a key: dealt by a prefix of its hash, and sorted by it.
 DEALT = {"document_keys": "key", "authors": "name", "organizations": "name", "tags": "name"}
-# What merged files are ordered by.
+# Tables that are read by a range of ids: a folder for each block of ids that follow each other.
+RANGED = {"documents": "id", "document_tags": "document_id"}
+# Tables of sums, and what they are added up by.
+SUMMED = {"statistics": (("metric", "key"), "value"), "score_blocks": (("score", "block"), "documents")}
+# What files are ordered by.
 ORDER = {
     "documents": ("id",), "document_tags": ("document_id", "position"), "ingestion_issues": ("id",),
     "ingestion_runs": ("id",),

@@ -7,7 +7,8 @@ import fails. Nothing is updated in place: small segments are merged into new on
 those who hold an older entry go on reading the old ones.
 
 Names and document keys are dealt by a prefix of their hash, so that a look-up reads the files of the asked prefixes
-only.
+only. Documents and their links lie in folders for blocks of ids that follow each other, so that an id tells where to
+read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from docsift.session import IN_LIST, Workspace, delete_folder, prepare, side_by_
 from docsift.sources import schema
 from docsift.sources.log import CommitLog
 
-Segment = dict  # path, bytes, bits, prefixes
+Segment = dict  # path, bytes, bits, prefixes, blocks
 EMPTY = {"data_version": 0, "segments": {}, "totals": {}, "batches": {}}
+# So many ids are a block. A store keeps the number that it began with.
+BLOCK_IDS = 1 << 17
 # A prefix of a dealt segment holds about so many rows, and a segment has at most 2^MAX_BITS prefixes.
 PREFIX_ROWS = 1_000_000
 MAX_BITS = 12
@@ -43,15 +46,26 @@ def key_prefix(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits).cast("int") if bits else F.lit(0)
 
 
+def runs_of(numbers: list[int]) -> list[list[int]]:
+    """The first and the last of numbers that follow each other."""
+    runs: list[list[int]] = []
+    for number in sorted(numbers):
+        if runs and runs[-1][1] + 1 == number:
+            runs[-1][1] = number
+        else:
+            runs.append([number, number])
+    return runs
+
+
 class DocumentStore:
-    """``prefix_rows`` and ``merged_segments`` change how the tables are laid out, not what is in them."""
+    """``prefix_rows``, ``merged_segments`` and ``block_ids`` change how the tables are laid out, not what is in them."""
 
     def __init__(self, spark: SparkSession, path: str, prefix_rows: int = PREFIX_ROWS,
-                 merged_segments: int = MERGED_SEGMENTS) -> None:
+                 merged_segments: int = MERGED_SEGMENTS, block_ids: int = BLOCK_IDS) -> None:
         self.spark = prepare(spark)
         self.path = path.rstrip("/")
         self.log = CommitLog(spark, f"{self.path}/log")
-        self.prefix_rows, self.merged_segments = prefix_rows, merged_segments
+        self.prefix_rows, self.merged_segments, self._block_ids = prefix_rows, merged_segments, block_ids
         self._fixed: dict | None = None
 
     def state(self) -> dict:
@@ -61,10 +75,18 @@ class DocumentStore:
         """The store as of now: whatever is read from it belongs to the same log entry."""
         if self._fixed is not None:
             return self
-        fixed = DocumentStore(self.spark, self.path, self.prefix_rows, self.merged_segments)
+        fixed = DocumentStore(self.spark, self.path, self.prefix_rows, self.merged_segments, self._block_ids)
         fixed._fixed = self.state()
         return fixed
 
+    @property
+    def block_ids(self) -> int:
+        return self.state().get("block_ids", self._block_ids)
+
+    def block_of(self, document_id: Column) -> Column:
+        """The block that a document's id lies in."""
+        return F.floor(document_id / F.lit(self.block_ids)).cast("bigint")
+
     def total(self, name: str) -> int:
         """How many rows of a kind are stored; as ids are dense, this is also the last id."""
         return self.state()["totals"].get(name, 0)
@@ -89,6 +111,14 @@ class DocumentStore:
     def table(self, name: str) -> DataFrame:
         return self._read(name, [segment["path"] for segment in self.segments(name)])
 
+    def blocks(self, name: str, wanted: set[int]) -> DataFrame:
+        """The rows of some blocks of ids: only their folders are listed and read."""
+        return self._read(name, [
+            f"{segment['path']}/block={block}"
+            for segment in self.segments(name) for block in sorted(wanted)
+            if any(first <= block <= last for first, last in segment["blocks"])
+        ])
+
     def runs(self) -> DataFrame:
         """All finished runs, completed or failed: one row each."""
         return self.table("ingestion_runs")
@@ -132,7 +162,7 @@ class DocumentStore:
         """Write rows of a table as a segment that nobody sees yet. Rows of a dealt table are counted first."""
         path = f"{name}/{uuid.uuid4().hex}"
         rows = rows.select(*[F.col(column).cast(kind).alias(column) for column, kind in schema.columns(name).items()])
-        bits, prefixes = 0, [0]
+        bits, prefixes, blocks = 0, [0], []
         if name in schema.DEALT:
             key = schema.DEALT[name]
             bits = min(max(math.ceil(math.log2(max(rows.count(), 1) / self.prefix_rows)), 0), MAX_BITS)
@@ -140,17 +170,24 @@ class DocumentStore:
             dealt = dealt.repartition("prefix") if bits else dealt.coalesce(1)
             writer = dealt.sortWithinPartitions("prefix", key).write.partitionBy("prefix")
             writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(f"{self.path}/{path}")
+        elif name in schema.RANGED:
+            ranged = rows.withColumn("block", self.block_of(F.col(schema.RANGED[name])))
+            if name != "documents":
+                ranged = ranged.repartition("block")  # narrow; documents come in the order of their lines
+            writer = ranged.sortWithinPartitions("block", *schema.ORDER[name]).write.partitionBy("block")
+            writer.option(f"parquet.bloom.filter.enabled#{schema.RANGED[name]}", "true").parquet(f"{self.path}/{path}")
         else:
-            writer = rows.write
-            if name == "documents":
-                # Lets a look-up by id skip the files that cannot hold it.
-                writer = writer.option("parquet.bloom.filter.enabled#id", "true")
-            writer.parquet(f"{self.path}/{path}")
+            rows.write.parquet(f"{self.path}/{path}")
         files, target = self._folder(path)
+        names = [status.getPath().getName() for status in files.listStatus(target)]
         if name in schema.DEALT:
-            names = [status.getPath().getName() for status in files.listStatus(target)]
             prefixes = sorted(int(n.removeprefix("prefix=")) for n in names if n.startswith("prefix="))
-        return {"path": path, "bytes": files.getContentSummary(target).getLength(), "bits": bits, "prefixes": prefixes}
+        if name in schema.RANGED:
+            blocks = runs_of([int(n.removeprefix("block=")) for n in names if n.startswith("block=")])
+        return {
+            "path": path, "bytes": files.getContentSummary(target).getLength(), "bits": bits, "prefixes": prefixes,
+            "blocks": blocks,
+        }
 
     def write_all(self, tables: dict[str, DataFrame]) -> dict[str, Segment]:
         """Write a segment of each table, side by side."""
@@ -191,6 +228,7 @@ class DocumentStore:
                 "totals": {name: last["totals"].get(name, 0) + totals.get(name, 0) for name in {*last["totals"], *totals}}
                 | {"last_run": max(last_run, last["totals"].get("last_run", 0))},
                 "batches": last["batches"] | ({stream: int(batch)} if batch_key else {}),
+                "block_ids": last.get("block_ids", self._block_ids),
             }
             if self.log.append(number + 1, entry):
                 return
@@ -202,9 +240,10 @@ class DocumentStore:
 
     def _merge(self, name: str, segments: list[Segment]) -> Segment:
         rows = self._read(name, [segment["path"] for segment in segments])
-        if name == "statistics":
-            rows = rows.groupBy("metric", "key").agg(F.sum("value").alias("value"))
-        elif name in schema.ORDER:
+        if name in schema.SUMMED:
+            keys, value = schema.SUMMED[name]
+            rows = rows.groupBy(*keys).agg(F.sum(value).alias(value))
+        elif name in schema.ORDER and name != "document_tags":
             # Ranges of ids in each file, so that the files' statistics tell where an id is.
             rows = rows.repartitionByRange(*schema.ORDER[name]).sortWithinPartitions(*schema.ORDER[name])
         return self.write(name, rows)

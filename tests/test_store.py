@@ -14,11 +14,12 @@ from docsift.operators.quality import constraint_report
 from docsift.operators.stored_keys import documents_of, key_table, stored_with_keys_of
 from docsift.plans import intake as intake_module
 from docsift.plans.intake import intake_lines
-from docsift.plans.review import get_document, list_documents
-from docsift.plans.stats import statistics, statistics_row
-from docsift.session import Workspace
+from docsift.plans.review import filter_documents, get_document, list_documents
+from docsift.plans.stats import score_blocks, statistics, statistics_row
+from docsift.session import Workspace, shared_folder
+from docsift.sources import schema
 from docsift.sources.log import CommitLog
-from docsift.sources.store import DocumentStore, key_prefix
+from docsift.sources.store import DocumentStore, key_prefix, runs_of
 from docsift.streaming.landing import import_landing_folder
 
 STORED = "id bigint, doi string, content_fingerprint string"
@@ -222,3 +223,68 @@ def test_jobs_do_not_grow_with_files(spark, tmp_path, monkeypatch):
         assert [run.inserted for run in store.runs().collect()] == [1] * many
         counts.append(len(written))
     assert counts[0] == counts[1]
+
+
+@pytest.fixture(scope="module")
+def paged(spark, tmp_path_factory):
+    """Twelve documents of three scores in each of five segments, in blocks of eight ids; four segments were merged."""
+    store = DocumentStore(spark, str(tmp_path_factory.mktemp("paged") / "store"), block_ids=8, merged_segments=4)
+    for run in range(5):
+        documents = spark.range(12 * run + 1, 12 * run + 13, 1, 2).select(
+            "id", F.concat(F.lit("Title "), F.col("id") % 5).alias("title"), (F.hash("id") % 3 + 50).alias("completeness_score"),
+            F.when(F.col("id") % 7 != 0, "draft").alias("status"), F.lit(None).cast("string").alias("body"),
+        )
+        missing = {name: F.lit(None).cast(kind) for name, kind in schema.columns("documents").items() if name not in documents.columns}
+        documents = documents.withColumns(missing)
+        links = documents.select(F.col("id").alias("document_id"), F.lit(1).alias("tag_id"), F.lit(0).alias("position"),
+                                 F.lit(run + 1).alias("run_id")).where("document_id % 3 = 0")
+        tables = {"documents": documents, "document_tags": links, "score_blocks": score_blocks(documents, store)}
+        if run == 0:
+            tables["tags"] = spark.createDataFrame([(1, "third", 1)], "id long, name string, run_id long")
+        store.commit(store.write_all(tables), {"documents": 12}, run + 1, store.state())
+        store.compact()
+    return store
+
+
+@pytest.mark.parametrize("sort", ["id", "score"])
+@pytest.mark.parametrize("conditions", [{}, {"status": "draft"}, {"tag": "third", "q": "TITLE 1"}, {"q": "nowhere"}])
+def test_pages_by_sorting_everything(paged, sort, conditions):
+    rows = filter_documents(paged, **conditions).collect()
+    rows.sort(key=lambda row: (-row.completeness_score if sort == "score" else 0, row.id))
+    for page, size in ((2, 7), (3, 20), (60, 1), (10**9, 100)):
+        found = list_documents(paged, page=page, page_size=size, sort=sort, **conditions)
+        expected = [row.id for row in rows[(page - 1) * size : page * size]]
+        assert [row.id for row in found.items.collect()] == expected and found.total == len(rows)
+
+
+def test_a_page_and_a_document_read_their_blocks_only(spark, paged, monkeypatch):
+    assert [segment["blocks"] for segment in paged.segments("documents")] == [[[0, 6]], [[6, 7]]]
+    read, blocks = [], DocumentStore.blocks
+    monkeypatch.setattr(DocumentStore, "blocks", lambda self, name, wanted: (
+        read.append((name, sorted(wanted))), blocks(self, name, wanted))[1])
+    monkeypatch.setattr(DocumentStore, "table", lambda self, name: self._read(name, [
+        segment["path"] for segment in self.segments(name)]) if name != "documents" else pytest.fail("all documents read"))
+    page = list_documents(paged, page=8, page_size=4)
+    assert [row.id for row in page.items.collect()] == [29, 30, 31, 32]
+    assert read == [("documents", [3, 4]), ("documents", [3, 4])]
+    assert {os.path.basename(os.path.dirname(path)) for path in files_of(page.items)} == {"block=3", "block=4"}
+    plan = page.items._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id" in plan
+    read.clear()
+    assert get_document(paged, 50).first().tags == [] and get_document(paged, 51).first().tags == ["third"]
+    assert read == [("documents", [6]), ("document_tags", [6])] * 2
+    assert len(files_of(paged.blocks("documents", {2}))) == 1 and paged.blocks("documents", {8}).isEmpty()
+    assert get_document(paged, 61).isEmpty() and get_document(paged, -1).isEmpty()
+    # A store keeps the size of blocks that it began with.
+    assert DocumentStore(spark, paged.path).block_ids == 8
+
+
+def test_numbers_in_runs():
+    assert runs_of([]) == [] and runs_of([3]) == [[3, 3]] and runs_of([7, 1, 2, 9, 8]) == [[1, 2], [7, 9]]
+
+
+def test_lists_leave_no_folder(spark, paged):
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    assert list_documents(paged, status="draft", sort="score").total
+    assert set(os.listdir(folder)) == before
