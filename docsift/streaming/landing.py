@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +15,10 @@ from docsift.sources.lines import BY_LANDING, SUFFIXES, number_lines, read_text
 from docsift.sources.store import DocumentStore
 
 ANY_AGE = "1000000d"
-FILES_PER_BATCH = 1_000
+# A batch costs some sixty Spark jobs whatever is in it, so small files are taken together.
+FILES_PER_BATCH = 10_000
+# So many files are renamed at a time.
+RENAMES = 16
 
 
 def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
@@ -34,15 +38,18 @@ def land_lines(lines: DataFrame, folder: str, name: str) -> list[str]:
     files.mkdirs(path(folder))
     stem, suffix = name.rsplit(".", 1)
     written = sorted(status.getPath().getName() for status in files.globStatus(path(staging, "part-*")))
-    landed = []
     batch, landed_at = uuid.uuid4().hex, int(time.time() * 1000)
-    for place, part in enumerate(written):
+
+    def land(place: int) -> str:
         target = f"{batch}_{stem}-{place:06d}.{suffix}" if len(written) > 1 else f"{batch}_{name}"
-        if not files.rename(path(staging, part), path(folder, target)):
+        # The files are imported in the order of landing, which their time stamps tell.
+        files.setTimes(path(staging, written[place]), landed_at + place, -1)
+        if not files.rename(path(staging, written[place]), path(folder, target)):
             raise OSError(f"unable to land {target}")
-        # The files are imported in the order of landing.
-        files.setTimes(path(folder, target), landed_at + place, -1)
-        landed.append(target)
+        return target
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        landed = list(pool.map(land, range(len(written))))
     delete_folder(spark, staging)
     return landed
 

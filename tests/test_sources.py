@@ -11,7 +11,7 @@ import pytest
 from docsift.plans.intake import intake
 from docsift.sources import schema
 from docsift.sources.lines import read_lines
-from docsift.streaming.landing import import_landing_folder
+from docsift.streaming.landing import import_landing_folder, land_lines
 
 NAMES = "source_name_with_[brackets]*{and}?marks.jsonl"
 
@@ -60,6 +60,16 @@ def test_files_with_old_time_stamps_are_imported(spark, tmp_path, store):
     assert store.table("documents").count() == 2
 
 
+def test_many_small_files_are_one_batch(spark, tmp_path, store):
+    lines = spark.range(1_100).selectExpr("id", "concat('{\"title\":\"Well ', id, '\"}') AS raw")
+    landed = land_lines(lines.repartitionById(1_100, lines["id"].cast("int")), str(tmp_path / "landing"), "wells.jsonl")
+    assert len(landed) == 1_100
+    import_landing_folder(spark, str(tmp_path / "landing"), store, str(tmp_path / "stream")).awaitTermination()
+    assert list(store.state()["batches"].values()) == [0]
+    runs = store.runs().orderBy("id").select("processed", "source").collect()
+    assert [(run.processed, run.source) for run in runs] == [(1, name) for name in landed]
+
+
 def test_a_failed_run_leaves_no_rows_behind(spark, tmp_path, store):
     (tmp_path / "long.jsonl").write_text(json.dumps({"title": "Well 3", "external_id": "x" * 300}) + "\n")
     with pytest.raises(RuntimeError):
