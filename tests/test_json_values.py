@@ -16,6 +16,9 @@ VALID = {
     "a long name with escapes at the cut": f'{{"{"k" * 998}{chr(92)}u00e9{chr(92)}{chr(34)}{"k" * 60_000}" :1,"t":"x"}}',
     "a long value that reads like a name": f'{{"v":"{"k" * 60_000}{chr(92)}":1","t":"x"}}',
     "deep nesting": f'{{"n":{"[" * 990}{"]" * 990},"t":"x"}}',
+    "a long name of runs and escapes": f'{{"{("k" * 45 + chr(92) + "u00e9") * 1_500}":1,"t":"x"}}',
+    "a long name of letters beyond ASCII": f'{{"{"é" * 60_000}":1,"t":"x"}}',
+    "a long line with a short escaped name": f'{{"v":"{"k" * 60_000}","{chr(92)}u0074":"x"}}',
     "a repeated name": '{"t":"first","t":"x"}',
 }
 MALFORMED = {

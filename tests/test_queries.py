@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from checks.queries import QUERIES
@@ -42,5 +43,20 @@ def test_query_matches_its_sql(spark, oracle, name):
     assert ours == theirs
 
 
+@pytest.mark.parametrize("name", ["long_values", "norm_url"])
+def test_costly_rows_are_dealt_over_all_tasks(spark, name):
+    """However few files and row groups hold them."""
+    assert len(list((SF_DIR).glob("documents.parquet"))) == 1
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    query = driver.queries()[name](spark, str(SF_DIR))
+    assert query.select(F.spark_partition_id()).distinct().count() == shuffle
+
+
+def test_a_long_line_is_decoded_once(spark):
+    plan = driver.queries()["long_values"](spark, str(SF_DIR))._jdf.queryExecution().optimizedPlan().toString()
+    # The second reading is for lines beyond what a VARIANT holds.
+    assert plan.count("from_json(") <= 3
+
+
 def test_entry_runs(spark):
     assert driver.entry(spark).columns == ["metric", "key", "value"]
