@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators.dedup import resolve_duplicates
-from docsift.operators.hot_join import hot_keys, join_lookup
+from docsift.operators.hot_join import BROADCAST_ROWS, hot_keys, join_lookup
 from docsift.operators.numbering import number_rows
 
 KEYS = "line_order bigint, doi string, content_fingerprint string"
@@ -133,6 +133,23 @@ def test_a_chain_of_any_length_takes_two_rounds(spark, workspace):
     assert written.count("links") <= 12
 
 
+def test_steps_of_a_chain_beyond_the_bound_are_not_broadcast(spark, workspace, monkeypatch):
+    """The driver would be sent the links once a step, up to the bound of a single look-up each time."""
+    monkeypatch.setattr("docsift.operators.dedup.STEP_ROWS", 10)
+    asked = []
+
+    def joined(facts, lookup, keys, how, used, *bounds):
+        if keys == ["root"] and how == "left":
+            asked.append((used.measured(lookup)[0], bounds[0] if bounds else BROADCAST_ROWS))
+        return join_lookup(facts, lookup, keys, how, used, *bounds)
+
+    monkeypatch.setattr("docsift.operators.dedup.join_lookup", joined)
+    records = [(n, f"c{(n + 1) // 2}", f"g{n // 2}") for n in range(60)]
+    decided = decide(spark, workspace, [], records)
+    assert [order for order in sorted(decided) if decided[order][0] is not None] == list(range(0, 60, 2))
+    assert asked and all(rows > bound for rows, bound in asked)
+
+
 def test_missing_fingerprint_of_the_stored_record_is_a_conflict(spark, workspace):
     stored = [(1, "d1", None)]
     assert decide(spark, workspace, stored, [(5, "d1", "x"), (6, "d1", None)]) == {
