@@ -38,6 +38,8 @@ ITEM_BYTES = 1 << 18
 # A segment's documents times the terms asked for.
 SEGMENT_CELLS = 1 << 22
 SEGMENT_DOCUMENTS = 2048
+# So many segments are searched by a task, about: they may come to its worker in one batch.
+TASK_SEGMENTS = 4
 BLOCK_DOCUMENTS = 32
 SKETCH_WIDTH = 32
 # Summaries hold only what is asked together, unless that takes more numbers than this.
@@ -320,6 +322,11 @@ class Segment:
         return docs[fine], scores[fine], at
 
 
+def deal_segments(index: DataFrame) -> DataFrame:
+    """The index dealt out by segments, so that what a task holds does not grow with the size of files."""
+    return index.repartition(max(index.count() // TASK_SEGMENTS, 1), F.xxhash64("doc_ids"))
+
+
 def search_index(index: DataFrame, queries: Queries, k: int, least: np.ndarray, first_only: bool = False) -> DataFrame:
     """item (its number), doc_id and score of every segment's best documents for each item."""
 
@@ -370,7 +377,7 @@ def _search_block(documents: DataFrame, queries: Queries, vocabulary: dict[bytes
         holding[row.term] = row["count"]
     weights = np.array([term_weight(totals.documents, df) for df in holding.tolist()], dtype=np.int64)
     queries = replace(queries, weights=weights)
-    index = workspace.write(build_index(forward, queries, totals.documents, totals.total), "index")
+    index = deal_segments(workspace.write(build_index(forward, queries, totals.documents, totals.total), "index"))
     least = np.ones(len(queries.items), dtype=np.int64)
     probed = _best(search_index(index, queries, k, least, first_only=True), k)
     place = {item: number for number, item in enumerate(queries.items.tolist())}

@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docsift.llm.contamination import find_contamination
-from docsift.llm.ranked_search import rank_documents
+from docsift.llm.ranked_search import TASK_SEGMENTS, deal_segments, rank_documents
 from docsift.llm.whitening import dqds, top_directions, whiten
 
 PASSAGE = [f"p{i % 17}x{i * i % 23}" for i in range(40)]
@@ -106,6 +107,13 @@ def test_ranking_by_brute_force(frames, workspace, k, item_bytes):
     assert rank_documents(documents, items.limit(0), k, workspace).isEmpty()
 
 
+def test_segments_of_one_file_are_dealt_over_tasks(spark, workspace):
+    index = workspace.write(spark.range(0, 200, 1, 1).selectExpr("array(id, id + 1) AS doc_ids"), "index")
+    dealt = deal_segments(index).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(row["count"] for row in dealt) == 200
+    assert len(dealt) > 40 and max(row["count"] for row in dealt) <= 4 * TASK_SEGMENTS
+
+
 def test_ranking_skips_most_blocks_and_loses_nothing(spark, workspace, monkeypatch):
     """Many documents of skewed words in a few segments, a third of them copies of one."""
     monkeypatch.setattr("docsift.llm.ranked_search.BLOCK_DOCUMENTS", 4)
