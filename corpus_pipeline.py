@@ -18,6 +18,10 @@ from docsift.llm.substring_dedup import remove_repeated_passages
 from docsift.session import Workspace
 
 
+# So many chunks of text a worker keeps while packing: the stages before leave it less memory than packing alone has.
+KNOWN_CHUNKS = 50_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the compression bands reject go."""
     return keep_good(docs)
@@ -40,7 +44,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces with their places in sequences of 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), Workspace(spark))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), Workspace(spark), known=KNOWN_CHUNKS)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.common import batch_of, crc_of_ids, whole_text
-from docsift.llm.tokens import byte_level_encoder
+from docsift.llm.tokens import MAX_CHUNKS, byte_level_encoder
 from docsift.operators.numbering import number_rows
 from docsift.session import Workspace
 
@@ -179,15 +179,17 @@ def plan_rows(packing: Packing, counts: dict[int, int]) -> Iterator[tuple[int, i
         sequence += times
 
 
-def cut_documents(documents: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def cut_documents(documents: DataFrame, tokenizer: str, end_id: int, capacity: int, known: int = MAX_CHUNKS) -> DataFrame:
     """Pieces of the documents' ids: doc_id, piece, start, length, ids_crc32.
 
     A document is its text's ids, then ``end_id``; a null text is the empty one. Only documents longer than
-    ``capacity`` are cut, into pieces of that length of which the first may be shorter.
+    ``capacity`` are cut, into pieces of that length of which the first may be shorter. A worker forgets its chunks
+    when it knows more than ``known``; fewer take less memory and more time, the ids are the same.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_level_encoder(tokenizer)
+        encoder.most_chunks = known
         for batch in batches:
             rows: list[tuple] = []
             keys = batch.column(0).to_pylist()
@@ -205,14 +207,14 @@ def cut_documents(documents: DataFrame, tokenizer: str, end_id: int, capacity: i
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, workspace: Workspace, capacity: int = 2048,
-                   end_id: int = 0) -> DataFrame:
+                   end_id: int = 0, known: int = MAX_CHUNKS) -> DataFrame:
     """The pieces of every row, with their sequence and their place in it.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Repeated rows are packed each for itself,
     a null doc_id is carried along, other columns of ``documents`` are ignored, an empty table gives no rows. Texts
     are never shuffled; the pieces' narrow rows are, once, by length and doc_id.
     """
-    pieces = workspace.write(cut_documents(documents, tokenizer, end_id, capacity), "pieces")
+    pieces = workspace.write(cut_documents(documents, tokenizer, end_id, capacity, known), "pieces")
     # At most ``capacity`` rows.
     counts = {row.length: row["count"] for row in pieces.groupBy("length").count().collect()}
     rows = list(plan_rows(pack_lengths(counts, capacity), counts))

@@ -20,6 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# What workers keep from task to task, each with how to give it back.
+_KEPT: list[Callable[[], None]] = []
+
+
+def keep_for_tasks(forget: Callable[[], None]) -> None:
+    """Register what a worker keeps for later tasks; ``forget`` frees it."""
+    _KEPT.append(forget)
+
+
+def free_kept() -> None:
+    """Free what a worker keeps for tasks of other work than this, as Spark uses workers again for whatever comes next."""
+    for forget in _KEPT:
+        forget()
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

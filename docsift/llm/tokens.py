@@ -18,7 +18,7 @@ from itertools import chain, islice
 import numpy as np
 from tokenizers import Tokenizer
 
-from docsift.llm.common import ragged_positions
+from docsift.llm.common import keep_for_tasks, ragged_positions
 
 # A worker forgets its chunks when it knows more than this, so that its memory stays bounded.
 MAX_CHUNKS = 700_000
@@ -56,7 +56,9 @@ class ChunkEncoder(ABC):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.most_chunks = MAX_CHUNKS
         self._forget()
+        keep_for_tasks(self._forget)
 
     # Chunks of plain characters, and the pattern's matches in them.
     plain: re.Pattern
@@ -119,7 +121,7 @@ class ChunkEncoder(ABC):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def group(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.codes) > MAX_CHUNKS:
+        if len(self.codes) > self.most_chunks:
             self._forget()
         codes, known, coded = self.codes, len(self.codes), []
         for text in texts:
