@@ -77,3 +77,23 @@ def test_a_failed_run_leaves_no_rows_behind(spark, tmp_path, store):
     left = {name: os.listdir(f"{store.path}/{name}") for name in schema.TABLES if os.path.exists(f"{store.path}/{name}")}
     assert [name for name, segments in left.items() if segments] == ["ingestion_runs"]
     assert store.runs().first().status == "failed"
+
+
+def test_a_refused_import_discards_what_was_written_beside_the_check(spark, tmp_path, store, monkeypatch):
+    """Statistics are written while constraints are checked, so they may be there first."""
+    from docsift.plans import intake as plan
+
+    check = plan._check
+
+    def late(new, known):
+        if known:
+            deadline = time.time() + 60
+            while time.time() < deadline and not all(os.path.exists(f"{store.path}/{n}") for n in ("statistics", "score_blocks")):
+                time.sleep(0.1)
+        check(new, known)
+
+    monkeypatch.setattr(plan, "_check", late)
+    (tmp_path / "long.jsonl").write_text(json.dumps({"title": "Well 3", "external_id": "x" * 300}) + "\n")
+    with pytest.raises(RuntimeError):
+        intake(spark, str(tmp_path / "long.jsonl"), store)
+    assert [name for name in ("statistics", "score_blocks", "documents") if os.listdir(f"{store.path}/{name}")] == []
