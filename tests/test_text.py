@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from docsift.functions.json_values import is_blank, is_object
 from docsift.functions.text import WHITESPACE, canonical, casefold, needs_unicode_normalization, strip
 
 
@@ -39,3 +40,16 @@ def test_casefold_and_stable_characters_on_all_characters(spark):
     ]
     assert wrong == []
     assert sum(not r.marked for r in rows) > 30_000
+
+
+def test_ends_and_runs_are_those_of_the_patterns_they_replace(spark):
+    ends = ["", "a", "\u00e9", "\u4e2d", "\U0001f600", "\u2013", " ", "  ", "\n", "\r\n", " \x1c", "\u3000", "\x85", "\u2028", "{", "["]
+    texts = sorted({a + b + c for a in ends for b in ("", "x", "x y", "x \n y", "\t", "{}") for c in ends})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", strip(F.col("t")).alias("stripped"), canonical(F.col("t")).alias("canonical"),
+        is_blank(F.col("t")).alias("blank"), F.col("t").rlike(r"^[ \t\n\r\x0b\x0c]*+$").alias("blank_by_pattern"),
+        is_object(F.col("t")).alias("object"), F.col("t").rlike(r"^[ \t\r\n]*\{").alias("object_by_pattern"),
+    ).collect()
+    assert [r.t for r in rows if r.stripped != r.t.strip()] == []
+    assert [r.t for r in rows if r.canonical != " ".join(r.t.split()).casefold()] == []
+    assert [r.t for r in rows if (r.blank, r.object) != (r.blank_by_pattern, r.object_by_pattern)] == []
