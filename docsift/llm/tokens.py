@@ -42,7 +42,7 @@ _ALPHABET = _byte_level_alphabet()
 def _written(piece: str) -> str:
     """A piece in the characters of byte-level models."""
     if piece.isascii():
-        if piece.isalnum():
+        if piece.isprintable() and " " not in piece:
             return piece
         if piece[0] == " " and piece[1:].isalnum():
             return _ALPHABET[0x20] + piece[1:]
@@ -63,6 +63,8 @@ class ChunkEncoder(ABC):
     # Chunks of plain characters, and the pattern's matches in them.
     plain: re.Pattern
     matches: re.Pattern
+    # Plain signs that are a match of their own behind a word, if nothing comes after them.
+    MARKS = frozenset("!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~0123456789")
 
     def _forget(self) -> None:
         if hasattr(self, "codes"):
@@ -86,27 +88,38 @@ class ChunkEncoder(ABC):
         """A plain chunk as the tokenizer's normaliser leaves it."""
         return text
 
-    def _plain_ids(self, text: str) -> list[int] | None:
-        """The ids of a chunk of plain characters; None for others."""
-        letters = text[1:] if text[:1] == " " else text
-        if letters.isascii() and letters.isalpha():
-            return self._piece_ids(self.prepared(text))  # all of it is one match
-        if not self.plain.fullmatch(text):
-            return None
-        ids: list[int] = []
-        for piece in self.matches.findall(self.prepared(text)):
-            ids += self._piece_ids(piece)
-        return ids
+    def _plain_ids(self, texts: list[str]) -> list[list[int] | None]:
+        """The ids of each chunk of plain characters; None for others."""
+        pieces, prepared, learned = self.pieces, self.prepared, self._piece_ids
+        fullmatch, findall, marks = self.plain.fullmatch, self.matches.findall, self.MARKS
+        found: list[list[int] | None] = []
+        for text in texts:
+            if text.isascii():
+                letters = text[1:] if text[:1] == " " else text
+                if letters.isalpha():  # all of it is one match
+                    piece = prepared(text)
+                    found.append(pieces.get(piece) or learned(piece))
+                    continue
+                if text[-1:] in marks and letters[:-1].isalpha():  # a word and a sign behind it: two matches
+                    word, mark = prepared(text[:-1]), text[-1]
+                    found.append((pieces.get(word) or learned(word)) + (pieces.get(mark) or learned(mark)))
+                    continue
+            if not fullmatch(text):
+                found.append(None)
+                continue
+            ids: list[int] = []
+            for piece in findall(prepared(text)):
+                ids += pieces.get(piece) or learned(piece)
+            found.append(ids)
+        return found
 
     def _piece_ids(self, piece: str) -> list[int]:
-        known = self.pieces.get(piece)
-        if known is None:
-            known = self.pieces[piece] = [token.id for token in self.model.tokenize(_written(piece))]
+        known = self.pieces[piece] = [token.id for token in self.model.tokenize(_written(piece))]
         return known
 
     def _learn(self, keys: list) -> None:
         texts = list(map(self.chunk_text, keys))
-        found = list(map(self._plain_ids, texts))
+        found = self._plain_ids(texts)
         others = [place for place, ids in enumerate(found) if ids is None]
         encodings = self.tokenizer.encode_batch_fast([texts[place] for place in others], add_special_tokens=False)
         for place, encoding in zip(others, encodings, strict=True):

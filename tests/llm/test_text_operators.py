@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ from docsift.llm.simhash_dedup import keep_one_of_each, near_duplicates
 from docsift.llm.simple8b import pack, unpack, unpack_block
 from docsift.llm.substring_dedup import COVER, PERIOD, WINDOW, remove_repeated_passages, remove_repeats
 from docsift.llm.token_files import documents_of, write_token_files
-from docsift.llm.tokens import ByteLevelEncoder, byte_level_encoder
+from docsift.llm.tokens import ByteLevelEncoder, WordEndEncoder, byte_level_encoder
 
 SF_DIR = Path("/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, verdict string, row string, fingerprint long, n_chars long"
@@ -571,3 +572,16 @@ def test_an_encoder_forgets_at_its_bound(spark):
     for text, ids in zip(texts, before, strict=True):
         assert [found.tolist() for found in encoder.encode([text])] == [ids]
     assert len(encoder.codes) <= 10 + 5
+
+
+def test_words_with_a_sign_behind_them_need_no_pattern():
+    for kind, file in ((ByteLevelEncoder, "byte_bpe_50k.json"), (WordEndEncoder, "word_bpe_49k.json")):
+        encoder = kind(public_tokenizers.path(file))
+        text = " ".join(f"Well{mark} it{mark}" for mark in sorted(encoder.MARKS))
+        assert [ids.tolist() for ids in encoder.encode([text])] == [encoder.tokenizer.encode(text, add_special_tokens=False).ids]
+        encoder._forget()
+        encoder.plain = encoder.matches = re.compile("")  # matches no chunk, so all others go to the library
+        learned = []
+        encoder.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **_: learned.extend(texts) or [])
+        assert len(next(iter(encoder.encode(["Deep wells, shallow ones; more"]))))
+        assert learned == []
