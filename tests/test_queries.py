@@ -60,3 +60,22 @@ def test_a_long_line_is_decoded_once(spark):
 
 def test_entry_runs(spark):
     assert driver.entry(spark).columns == ["metric", "key", "value"]
+
+
+@pytest.mark.parametrize("name, numbers", [("record_fingerprints", (3, 25)), ("content_fingerprints", (4, 5))])
+def test_fingerprints_of_texts_that_need_nfkc(spark, tmp_path, name, numbers):
+    """A line has the fingerprint of its plain form, not none."""
+    found = []
+    for form, word in (("odd", "ﬁve Ⅷ"), ("plain", "five VIII")):
+        folder = tmp_path / form
+        documents = [(n, f"{word} {n}\nlast {word}", "en", "src1", 10) for n in numbers]
+        columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+        spark.createDataFrame(documents, columns).write.parquet(str(folder / "documents.parquet"))
+        page = spark.createDataFrame([(0, "https://a.test/")], "page_id bigint, url string")
+        page.write.parquet(str(folder / "pages.parquet"))
+        rows = driver.queries()[name](spark, str(folder)).collect()
+        # A repost of a line is another line.
+        found.append({(row.source_file, row.source_line): row.content_fingerprint for row in rows})
+    odd, plain = found
+    assert {line for _, line in odd} == set(numbers)
+    assert odd == plain and None not in odd.values()
