@@ -20,7 +20,7 @@ from docsift.session import Workspace, shared_folder
 from docsift.sources import schema
 from docsift.sources.log import CommitLog
 from docsift.sources.store import DocumentStore, key_prefix, runs_of
-from docsift.streaming.landing import import_landing_folder
+from docsift.streaming.landing import import_landing_folder, land_lines
 
 STORED = "id bigint, doi string, content_fingerprint string"
 
@@ -225,6 +225,33 @@ def test_jobs_do_not_grow_with_files(spark, tmp_path, monkeypatch):
     assert counts[0] == counts[1]
 
 
+def test_tasks_do_not_grow_with_files(spark, tmp_path):
+    """A hundred files are landed by a few tasks, in the order of their numbers, and no step of their import has a task a file."""
+    many, tracker = 100, spark.sparkContext.statusTracker()
+    landing, store = str(tmp_path / "landing"), DocumentStore(spark, str(tmp_path / "store"))
+
+    def most_tasks(group):
+        stages = [stage for job in tracker.getJobIdsForGroup(group) for stage in tracker.getJobInfo(job).stageIds]
+        return max(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+
+    lines = spark.range(0, 3 * many, 1, 8).select(
+        "id", (F.col("id") % many).alias("file"), F.concat(F.lit('{"title":"T'), F.col("id"), F.lit('"}')).alias("raw"))
+    spark.sparkContext.setJobGroup("landing", "")
+    names = land_lines(lines.repartition(4, "file").sortWithinPartitions("file", "id"), landing, "feed.jsonl", by="file")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert most_tasks("landing") <= 8 and sorted(os.listdir(landing)) == sorted([*names, *(f".{n}.crc" for n in names)])
+    for number, name in enumerate(names):
+        found = (tmp_path / "landing" / name).read_text().splitlines()
+        assert found == [f'{{"title":"T{n}"}}' for n in (number, number + many, number + 2 * many)]
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    query = import_landing_folder(spark, landing, store, str(tmp_path / "stream"))
+    query.awaitTermination()
+    assert most_tasks(str(query.runId)) < many
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    runs = store.runs().orderBy("id").collect()
+    assert [run.source for run in runs] == names and {run.processed for run in runs} == {3}
+
+
 @pytest.fixture(scope="module")
 def paged(spark, tmp_path_factory):
     """Twelve documents of three scores in each of five segments, in blocks of eight ids; four segments were merged."""
